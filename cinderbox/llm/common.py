@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a maximal run of characters other than these (fixed value of the contracts).
@@ -23,8 +23,9 @@ def words(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    """Number of words without building them into rows; 0 for null."""
-    return F.size(words(text)).cast("long")
+    """Number of words without a pass over their array; 0 for null."""
+    t = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
+    return F.when(t == "", F.lit(0)).otherwise(F.size(F.split(t, SPACE_CLASS))).cast("long")
 
 
 def let(value: Column, body) -> Column:
@@ -72,6 +73,30 @@ def remove(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def running_sums(df: DataFrame, order: list[Column], sums: dict[str, Column], name: str = "sorted") -> DataFrame:
+    """Rank and running sums over all rows in a global order, without a task that sees all rows.
+
+    Rows are dealt into ranges of the order, numbered and summed inside each
+    range; the sums of the ranges before are then added. Adds ``__rank`` (from
+    1) and the named sums (this row included). Ties fall into one range, in an
+    order that is fixed once the sorted rows are written.
+    """
+    kept = [c for c in df.columns if c != "__rank" and c not in sums]
+    df = df.withColumns({f"__v_{k}": c for k, c in sums.items()}).withColumn("__v_rank", F.lit(1).cast("long"))
+    names = [*sums, "rank"]
+    df = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id())
+    df = materialise(df, name).withColumn("__pid", F.shiftright("__m", 33))
+    by_range = df.groupBy("__pid").agg(*[F.sum(f"__v_{k}").alias(f"__s_{k}") for k in names])
+    # one row per range, so the number of tasks that wrote them bounds both this window and the broadcast
+    before = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    base = by_range.select(F.col("__pid").alias("__p"), *[F.coalesce(F.sum(f"__s_{k}").over(before), F.lit(0)).alias(f"__b_{k}") for k in names])
+    inside = Window.partitionBy("__pid").orderBy("__m").rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumns({f"__c_{k}": F.sum(f"__v_{k}").over(inside) for k in names})
+    df = df.join(F.broadcast(base), df["__pid"] == base["__p"])
+    out = {("__rank" if k == "rank" else k): F.col(f"__b_{k}") + F.col(f"__c_{k}") for k in names}
+    return df.select(*kept, *[c.alias(k) for k, c in out.items()])
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an edge list: one row (node, root) per node, root the smallest node.
 

@@ -97,21 +97,20 @@ def base_rules(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def host_rates(base: DataFrame, host: str = "source") -> DataFrame:
-    """One row per host: failures, documents, the shrunken rate.
+    """One row per host: __host, host_docs, host_fails, host_rate (shrunken).
 
     Beta prior by moments over the hosts' rates: mean m and variance v give
     strength k = m(1-m)/v - 1, at least 1 and at most 1000 (few hosts, or hosts
-    that are all alike); the shrunken rate is (fails + k m) / (n + k).
+    that are all alike); the shrunken rate is (fails + k m) / (n + k). The table
+    of hosts is written once, so its size is known to whatever joins it.
     """
-    hosts = base.groupBy(F.col(host).alias("__host")).agg(
-        F.count(F.lit(1)).alias("host_docs"), F.sum(F.col("base_failed").cast("long")).alias("host_fails"))
+    hosts = materialise(base.groupBy(F.col(host).alias("__host")).agg(
+        F.count(F.lit(1)).alias("host_docs"), F.sum(F.col("base_failed").cast("long")).alias("host_fails")), "hosts")
     rate = F.col("host_fails") / F.col("host_docs")
-    prior = hosts.agg(F.avg(rate).alias("__m"), F.var_pop(rate).alias("__v"))
-    k = F.greatest(F.lit(1.0), F.least(F.lit(1000.0), F.col("__m") * (1 - F.col("__m")) / F.greatest(F.col("__v"), F.lit(1e-12)) - 1))
-    # the prior is one row, whatever the number of hosts
-    return hosts.join(F.broadcast(prior)).withColumn("__k", k).select(
-        "__host", "host_docs", "host_fails",
-        ((F.col("host_fails") + F.col("__k") * F.col("__m")) / (F.col("host_docs") + F.col("__k"))).alias("host_rate"))
+    m, v = hosts.agg(F.avg(rate), F.var_pop(rate)).first()
+    m, v = m or 0.0, v or 0.0
+    k = max(1.0, min(1000.0, m * (1 - m) / max(v, 1e-12) - 1))
+    return hosts.withColumn("host_rate", (F.col("host_fails") + F.lit(k * m)) / (F.col("host_docs") + F.lit(k)))
 
 
 def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", max_host_rate: float = MAX_HOST_RATE,
@@ -119,14 +118,13 @@ def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", max
     """All rows of ``docs`` with base statistics, host_rate and kept.
 
     The statistics are written once to the shared folder, as the host totals and
-    the result both read them. So is the table of hosts: its size is then known
-    when the join is planned, which sends it to all tasks below
-    ``spark.sql.autoBroadcastJoinThreshold`` and else shuffles, where the skew
-    join splits a hot host.
+    the result both read them. The table of hosts is sent to all tasks when its
+    files are below ``spark.sql.autoBroadcastJoinThreshold``, and else shuffled,
+    where the skew join splits a hot host.
     """
     base = base_rules(docs, text)
     base = materialise(base if keep_text else base.drop(text), "quality")
-    rates = materialise(host_rates(base.select(host, "base_failed"), host), "hosts")
+    rates = host_rates(base.select(host, "base_failed"), host)
     joined = base.join(rates.withColumnRenamed("__host", "__h"), F.col(host).eqNullSafe(F.col("__h")), "left")
     return joined.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("host_rate"), F.lit(0.0)) <= max_host_rate)).drop("__h", "host_docs", "host_fails")
 

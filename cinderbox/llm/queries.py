@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from .mixing import OP6_SQL, op6_mix_sources
 from .quality import OP2_SQL, op2_quality_rules
 
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
+    "op6_mix_sources": op6_mix_sources,
 }
 
 ORACLE_SQL = {
     "op2_quality_rules": OP2_SQL,
+    "op6_mix_sources": OP6_SQL,
 }
