@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from .bpe import op5_byte_bpe
 from .mixing import OP6_SQL, op6_mix_sources
 from .quality import OP2_SQL, op2_quality_rules
 
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
+    "op5_byte_bpe": op5_byte_bpe,
     "op6_mix_sources": op6_mix_sources,
 }
 
