@@ -6,15 +6,18 @@ from .bpe import op5_byte_bpe
 from .jpeg import op9_media_jpeg
 from .mixing import OP6_SQL, op6_mix_sources
 from .quality import OP2_SQL, op2_quality_rules
+from .warc import OP10_SQL, op10_warc
 
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_mix_sources": op6_mix_sources,
     "op9_media_jpeg": op9_media_jpeg,
+    "op10_warc": op10_warc,
 }
 
 ORACLE_SQL = {
     "op2_quality_rules": OP2_SQL,
     "op6_mix_sources": OP6_SQL,
+    "op10_warc": OP10_SQL,
 }
