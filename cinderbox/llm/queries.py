@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op5_byte_bpe
+from .classifier import op7_quality_classifier
 from .jpeg import op9_media_jpeg
 from .mixing import OP6_SQL, op6_mix_sources
 from .quality import OP2_SQL, op2_quality_rules
@@ -12,6 +13,7 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_mix_sources": op6_mix_sources,
+    "op7_quality_classifier": op7_quality_classifier,
     "op9_media_jpeg": op9_media_jpeg,
     "op10_warc": op10_warc,
 }
