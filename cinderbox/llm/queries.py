@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from .bpe import op5_byte_bpe
 from .classifier import op7_quality_classifier
+from .html import op1_html_text
 from .jpeg import op9_media_jpeg
 from .mixing import OP6_SQL, op6_mix_sources
 from .quality import OP2_SQL, op2_quality_rules
 from .warc import OP10_SQL, op10_warc
 
 QUERIES = {
+    "op1_html_text": op1_html_text,
     "op2_quality_rules": op2_quality_rules,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_mix_sources": op6_mix_sources,
