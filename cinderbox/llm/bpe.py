@@ -7,8 +7,8 @@ removes the right neighbour from a linked list and sets three leaves; each is a
 walk to the root, so a piece of n bytes takes O(n log n) whatever its length.
 
 Pieces repeat, so each Python worker keeps the ids of pieces it has met, in a
-table of bounded size. The vocabulary file is a parameter: workers read it from
-its path, or get its content from the driver where only the driver has it.
+table of bounded size. The vocabulary file is a parameter; the driver reads it
+and sends its content, about a megabyte, to the workers.
 
 Defined cases: null and empty texts have no tokens; lone surrogates cannot occur
 in a Spark string; texts of any length are encoded whole; repeated rows give
@@ -28,43 +28,16 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Pieces that a worker remembers; at the bound it forgets all and starts again.
-MEMORY = 300_000
+#: Pieces that a worker remembers, twice: at the bound it starts a new table and keeps the one before.
+MEMORY = 500_000
 #: Longer pieces are encoded each time that they occur.
 REMEMBERED_LENGTH = 64
 #: Spare bits of a packed rank hold the position.
 _POS = 40
+_AT = (1 << _POS) - 1
 _NONE = 1 << 62
 
 
-class SegmentTree:
-    """Leftmost minimum over byte positions: leaves are rank << 40 | position."""
-
-    def __init__(self, keys: list[int]):
-        size = 1
-        while size < len(keys):
-            size *= 2
-        self.size = size
-        tree = [_NONE] * size + keys + [_NONE] * (size - len(keys))
-        for i in range(size - 1, 0, -1):
-            a, b = tree[2 * i], tree[2 * i + 1]
-            tree[i] = a if a < b else b
-        self.tree = tree
-
-    def least(self) -> int:
-        return self.tree[1]
-
-    def put(self, pos: int, key: int) -> None:
-        tree, i = self.tree, self.size + pos
-        tree[i] = key
-        while i > 1:
-            a, i = tree[i ^ 1], i >> 1
-            least = key if key < a else a
-            if tree[i] == least:  # nothing changes above
-                return
-            tree[i] = key = least
-
-
 class Vocabulary:
     """Ranks of byte strings, the pattern that cuts pieces, and both directions of the code."""
 
@@ -77,6 +50,7 @@ class Vocabulary:
         for part, rank in ranks.items():
             self.parts[rank] = part
         self.seen: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     @classmethod
     def parse(cls, content: bytes, pattern: str) -> Vocabulary:
@@ -93,26 +67,43 @@ class Vocabulary:
         n = len(piece)
         ends = list(range(1, n + 1))  # of the part that starts at a position
         before = list(range(-1, n - 1))
-
-        def key(start: int) -> int:
-            middle = ends[start]
-            if middle >= n:
-                return _NONE
-            rank = ranks.get(piece[start:ends[middle]])
-            return _NONE if rank is None else rank << _POS | start
-
-        tree = SegmentTree([key(i) for i in range(n)])
-        while (least := tree.least()) != _NONE:
-            start = least & ((1 << _POS) - 1)
+        # the tree: leaves from ``size`` on hold rank << _POS | start, every node the least below it
+        size = 1 << (n - 1).bit_length()
+        tree = [_NONE] * (2 * size)
+        get = ranks.get
+        for i in range(n - 1):
+            rank = get(piece[i:i + 2])
+            if rank is not None:
+                tree[size + i] = rank << _POS | i
+        for i in range(size - 1, 0, -1):
+            a, b = tree[2 * i], tree[2 * i + 1]
+            tree[i] = a if a < b else b
+        while (least := tree[1]) != _NONE:
+            start = least & _AT
             gone = ends[start]
             ends[start] = after = ends[gone]
             if after < n:
                 before[after] = start
-            tree.put(gone, _NONE)
-            tree.put(start, key(start))
+                rank = get(piece[start:ends[after]])
+                changed = [(gone, _NONE), (start, _NONE if rank is None else rank << _POS | start)]
+            else:
+                changed = [(gone, _NONE), (start, _NONE)]
             if start:
                 left = before[start]
-                tree.put(left, key(left))
+                rank = get(piece[left:after])
+                changed.append((left, _NONE if rank is None else rank << _POS | left))
+            for at, key in changed:
+                i = size + at
+                if tree[i] == key:
+                    continue
+                tree[i] = key
+                while i > 1:
+                    a, i = tree[i ^ 1], i >> 1
+                    if a < key:
+                        key = a
+                    if tree[i] == key:  # nothing changes above
+                        break
+                    tree[i] = key
         out, start = [], 0
         while start < n:
             out.append(ranks[piece[start:ends[start]]])
@@ -120,10 +111,10 @@ class Vocabulary:
         return out
 
     def _met(self, piece: str) -> tuple[int, ...]:
-        ids = tuple(self.merge(piece.encode()))
+        ids = self.older.get(piece) or tuple(self.merge(piece.encode()))
         if len(piece) <= REMEMBERED_LENGTH:
             if len(self.seen) >= MEMORY:
-                self.seen.clear()
+                self.older, self.seen = self.seen, {}
             self.seen[piece] = ids
         return ids
 
