@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -73,6 +74,12 @@ def remove(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now; it does when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def running_sums(df: DataFrame, order: list[Column], sums: dict[str, Column], name: str = "sorted") -> DataFrame:
     """Rank and running sums over all rows in a global order, without a task that sees all rows.
 

@@ -6,6 +6,7 @@ from .bpe import op5_byte_bpe
 from .classifier import op7_quality_classifier
 from .html import op1_html_text
 from .jpeg import op9_media_jpeg
+from .linededup import op8_fuzzy_lines
 from .mixing import OP6_SQL, op6_mix_sources
 from .quality import OP2_SQL, op2_quality_rules
 from .warc import OP10_SQL, op10_warc
@@ -16,6 +17,7 @@ QUERIES = {
     "op5_byte_bpe": op5_byte_bpe,
     "op6_mix_sources": op6_mix_sources,
     "op7_quality_classifier": op7_quality_classifier,
+    "op8_fuzzy_lines": op8_fuzzy_lines,
     "op9_media_jpeg": op9_media_jpeg,
     "op10_warc": op10_warc,
 }
