@@ -19,7 +19,7 @@ columns are ignored.
 
 from __future__ import annotations
 
-import re
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -37,7 +37,7 @@ from .common import table
 BUCKETS = 1 << 16
 DIM = 8
 NGRAMS = (3, 4)
-#: Labelled documents that the model is fitted on, at most; half are of the rarer class if it has so many.
+#: Labelled documents that the model is fitted on, at most, half from each class.
 SAMPLE = 6000
 #: Characters of text in that sample, at most (documents are left out whole).
 SAMPLE_CHARS = 40_000_000
@@ -45,21 +45,40 @@ EPOCHS = 6
 RATE = 0.5
 SEED = 7
 THRESHOLD = 0.7
-#: Words whose features a worker remembers; at the bound it forgets all and starts again.
-MEMORY = 200_000
-#: Longer words have features of their own each time that they occur.
-REMEMBERED_LENGTH = 40
-_WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
-#: Stands, as one more word, for each word that equals the one before it (white space cannot be in a word).
+#: Words and characters of words that a worker remembers; beyond either it forgets all and starts again.
+MEMORY, MEMORY_CHARS = 400_000, 20_000_000
+#: Characters of text that are scored together.
+CHUNK = 2 << 20
+#: Stands, as one more word, for each word that equals the one before it (no word holds white space).
 AGAIN = " again"
+#: An odd multiplier for the hashes of n-grams.
+_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
-def features(word: str) -> np.ndarray:
-    """Buckets of the word and of its character n-grams; n-grams of one word are counted as often as they occur."""
-    marked = f"<{word}>"
-    found = [zlib.crc32(f"={word}".encode()) % BUCKETS]
-    found += [zlib.crc32(marked[i:i + n].encode()) % BUCKETS for n in NGRAMS for i in range(len(marked) - n + 1)]
-    return np.array(found, np.int32)
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of words and of their character n-grams, word after word, and where each word's begin.
+
+    N-grams lie inside word marks and count as often as they occur. All words
+    are hashed in one pass over their code points.
+    """
+    marked = "".join([f"<{w}>" for w in words])
+    codes = np.frombuffer(marked.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    of = np.repeat(np.arange(len(words)), sizes)
+    buckets = [np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) % BUCKETS for w in words), np.int64, len(words))]
+    owner = [np.arange(len(words))]
+    for n in NGRAMS:
+        if len(codes) < n:
+            continue
+        h = np.full(len(codes) - n + 1, n, np.uint64)
+        for k in range(n):
+            h = (h + codes[k:len(codes) - n + 1 + k]) * _MULTIPLIER
+        inside = of[:len(h)] == of[n - 1:]
+        buckets.append((h[inside] >> np.uint64(40)).astype(np.int64) % BUCKETS)
+        owner.append(of[:len(h)][inside])
+    owner, buckets = np.concatenate(owner), np.concatenate(buckets)
+    order = np.argsort(owner, kind="stable")
+    return buckets[order], np.searchsorted(owner[order], np.arange(len(words)))
 
 
 @dataclass
@@ -68,8 +87,13 @@ class Model:
     weights: np.ndarray  # dim x classes
     bias: np.ndarray
 
-    def word(self, word: str) -> np.ndarray:
-        return self.vectors[features(word)].mean(axis=0)
+    def words(self, words: list[str]) -> np.ndarray:
+        """Vectors of words: means over their buckets."""
+        if not words:
+            return np.empty((0, DIM))
+        buckets, starts = features(words)
+        sizes = np.diff(starts, append=len(buckets))
+        return np.add.reduceat(self.vectors[buckets], starts) / sizes[:, None]
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -83,7 +107,7 @@ def repeats(words: list[str]) -> int:
 
 def counted(text: str | None) -> dict[str, int]:
     """Words of a text, and repeats, with their counts."""
-    words = _WORDS(text or "")
+    words = (text or "").split()
     out = dict(Counter(words))
     if again := repeats(words):
         out[AGAIN] = again
@@ -104,18 +128,17 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, rate: float =
     for t in texts:
         words = counted(t)
         total = sum(words.values())
-        ids, part = [], []
-        for w, n in words.items():
-            f = memory.get(w)
-            if f is None:
-                f = memory[w] = features(w)
-            ids.append(f)
-            part.append(np.full(len(f), n / (total * len(f))))
-        if ids:
-            flat, back = np.unique(np.concatenate(ids), return_inverse=True)
-            docs.append((flat, np.bincount(back, np.concatenate(part))))
+        if new := [w for w in words if w not in memory]:
+            buckets, starts = features(new)
+            memory.update(zip(new, np.split(buckets, starts[1:]), strict=True))
+        if words:
+            own = [memory[w] for w in words]
+            sizes = np.fromiter(map(len, own), np.int64, len(own))
+            part = np.repeat(np.fromiter(words.values(), float, len(own)) / (total * sizes), sizes)
+            flat, back = np.unique(np.concatenate(own), return_inverse=True)
+            docs.append((flat, np.bincount(back, part)))
         else:
-            docs.append((np.empty(0, np.int32), np.empty(0)))
+            docs.append((np.empty(0, np.int64), np.empty(0)))
     steps, done = epochs * len(docs), 0
     y = np.array(labels)
     for _ in range(epochs):
@@ -141,41 +164,63 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model = model
-        self.again = model.word(AGAIN)
+        self.again = model.words([AGAIN])[0]
+        self.forget()
+
+    def forget(self) -> None:
         self.at: dict[str, int] = {}
-        self.held = np.empty((1024, DIM))
-
-    def _row(self, word: str) -> int:
-        n = len(self.at)
-        if n == len(self.held):
-            self.held = np.concatenate([self.held, np.empty_like(self.held)])
-        self.held[n] = self.model.word(word)
-        self.at[word] = n
-        return n
-
-    def score(self, text: str | None) -> float:
-        m = self.model
-        words = _WORDS(text or "")
-        h = np.zeros(DIM)
-        if words:
-            if len(self.at) + len(words) > MEMORY:
-                self.at, self.held = {}, np.empty((1024, DIM))
-            get, row, rows = self.at.get, self._row, []
-            for w in words:
-                k = get(w)
-                if k is None:
-                    if len(w) > REMEMBERED_LENGTH or len(self.at) >= MEMORY:
-                        h += m.word(w)
-                        continue
-                    k = row(w)
-                rows.append(k)
-            if rows:
-                h += self.held[np.array(rows)].sum(axis=0)
-            again = repeats(words)
-            if again:
-                h += again * self.again
-            h /= len(words) + again
-        return float(softmax(h @ m.weights + m.bias)[1])
+        self.held = np.empty((0, DIM))
+        self.chars = 0
+
+    def learn(self, texts: list[list[str]]) -> None:
+        new: set[str] = set().union(*texts) - self.at.keys()
+        size = sum(map(len, new))
+        if self.at and (len(self.at) + len(new) > MEMORY or self.chars + size > MEMORY_CHARS):
+            self.forget()
+            new = set().union(*texts)
+            size = sum(map(len, new))
+        if new:
+            words = sorted(new)
+            self.at.update(zip(words, range(len(self.at), len(self.at) + len(words)), strict=True))
+            self.held = np.concatenate([self.held, self.model.words(words)])
+            self.chars += size
+
+    def scores(self, texts: list[str | None]) -> list[float]:
+        """Scores of texts, in chunks whose new words are learned together."""
+        out: list[float] = []
+        held: list[list[str]] = []
+        size = 0
+        for t in texts:
+            held.append((t or "").split())
+            size += len(t or "")
+            if size >= CHUNK:
+                out += self._scores(held)
+                held, size = [], 0
+        return out + self._scores(held)
+
+    def _scores(self, texts: list[list[str]]) -> list[float]:
+        if not texts:
+            return []
+        self.learn(texts)
+        h = np.zeros((len(texts), DIM))
+        row = self.at.__getitem__
+        for k, words in enumerate(texts):
+            if words:
+                again = repeats(words)
+                total = self.held.take(np.fromiter(map(row, words), np.int64, len(words)), 0).sum(axis=0)
+                h[k] = (total + again * self.again) / (len(words) + again)
+        return softmax(h @ self.model.weights + self.model.bias)[:, 1].tolist()
+
+
+#: The scorer of the model that this worker process used last, by a name.
+_HELD: dict[str, Scorer] = {}
+
+
+def _scorer(number: str, sent) -> Scorer:
+    if number not in _HELD:
+        _HELD.clear()
+        _HELD[number] = Scorer(sent.value)
+    return _HELD[number]
 
 
 def in_fold(doc_id, fold: int = 2):
@@ -211,13 +256,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str = "quality", sa
 def score_column(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The other columns of ``docs`` with ``score``."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x DIM numbers, whatever the data
+    number = uuid.uuid4().hex
     kept = [c for c in docs.columns if c != text]
     schema = ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes if c != text), "score double"])
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(sent.value)
+        scorer = _scorer(number, sent)
         for b in batches:
-            scores = [scorer.score(t.as_py()) for t in b.column(len(kept))]
+            scores = scorer.scores(b.column(len(kept)).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns[:len(kept)], pa.array(scores, pa.float64())], names=[*kept, "score"])
 
     return docs.select(*kept, text).mapInArrow(scored, schema)
