@@ -8,12 +8,14 @@ from .html import op1_html_text
 from .jpeg import op9_media_jpeg
 from .linededup import op8_fuzzy_lines
 from .mixing import OP6_SQL, op6_mix_sources
+from .ngramjoin import op3_ngram_jaccard
 from .quality import OP2_SQL, op2_quality_rules
 from .warc import OP10_SQL, op10_warc
 
 QUERIES = {
     "op1_html_text": op1_html_text,
     "op2_quality_rules": op2_quality_rules,
+    "op3_ngram_jaccard": op3_ngram_jaccard,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_mix_sources": op6_mix_sources,
     "op7_quality_classifier": op7_quality_classifier,
