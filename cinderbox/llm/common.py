@@ -74,6 +74,15 @@ def remove(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+#: Rows of a few numbers each that may go to every task (some 50 MB in memory).
+BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table of narrow rows, marked for broadcast if it has at most ``rows``; else Spark's shuffled joins take it."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished steps now; it does when the driver collects garbage."""
     gc.collect()
