@@ -18,7 +18,8 @@ How the index is spread over a cluster without losing a link:
   copies become one component by a number of comparisons in proportion to it.
 * Shards whose classes still lie in different components are indexed: an R-tree
   over their points (upper corners of group counts, ranges of set sizes) yields,
-  for each point, the others that its bound admits, best first. They are
+  for each point, the others that its bound admits, best first. Pairs that also
+  pass the bound in finer groups, whose number follows the set's size, are
   verified in three turns - the first few, the next, all the rest - and what has
   become one component meanwhile is not compared again. Large shards are cut
   into blocks, and each pair of blocks is a task of its own.
@@ -43,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialise, release, remove, table
+from .common import components, materialise, release, small, table
 
 WORDS, PERCENT = 5, 80
 #: Coordinates of a point.
@@ -93,6 +94,23 @@ def point(s: np.ndarray) -> bytes:
     return np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=GROUPS).astype(np.uint32).tobytes()
 
 
+def fine(s: np.ndarray) -> bytes:
+    """The point in about half as many groups as the set has shingles: the bits of a group's number, then the counts."""
+    bits = min(20, max(7, len(s).bit_length() - 1))
+    counts = np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    width = 1 if counts.max(initial=0) < 256 else 4
+    return bytes([bits, width]) + counts.astype(f"<u{width}").tobytes()
+
+
+def fine_bound(a: bytes, b: bytes) -> int:
+    """Sum of the minima of two fine points, in the groups of the coarser one."""
+    x, y = (np.frombuffer(p, f"<u{p[1]}", offset=2) for p in (a, b))
+    if len(x) != len(y):
+        n = min(len(x), len(y))
+        x, y = (v.reshape(n, -1).sum(axis=1, dtype=np.int64) for v in (x, y))
+    return int(np.minimum(x, y).sum(dtype=np.int64))
+
+
 def needed(a, b):
     """The least overlap of sets of these sizes that link: 100 x >= 80 (a + b - x)."""
     return -(-PERCENT * (a + b) // (100 + PERCENT))
@@ -111,7 +129,7 @@ def prefix(s: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> tuple[np.
 def _points(docs: DataFrame) -> DataFrame:
     """A row for each document (doc_id, text hash, size, name, point) and for each frequent group of a task."""
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "row", "n", "s1", "s2", "point"]
+        names = ["doc_id", "row", "n", "s1", "s2", "point", "fine"]
         counted, seen = np.zeros(COUNTED, np.uint32), 0
         for b in batches:
             ids, row, texts = b.columns
@@ -120,15 +138,16 @@ def _points(docs: DataFrame) -> DataFrame:
                 s = shingles(t.as_py())
                 np.add.at(counted, (s >> np.uint64(42)).astype(np.int64), 1)
                 seen += len(s)
-                out.append((len(s), *name(s), point(s) if len(s) else None))
-            cols = list(zip(*out, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([ids, row, pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary())], names=names)
+                out.append((len(s), *name(s), point(s) if len(s) else None, fine(s) if len(s) else None))
+            cols = list(zip(*out, strict=True)) or [[]] * 5
+            kinds = [pa.int64()] * 3 + [pa.binary()] * 2
+            yield pa.RecordBatch.from_arrays([ids, row, *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=names)
         often = np.flatnonzero(counted >= FREQUENT + 4 * seen // COUNTED)
         none = pa.nulls(len(often), pa.int64())
         # a negative size marks a group and its count
-        yield pa.RecordBatch.from_arrays([none, none, pa.array(-counted[often].astype(np.int64)), pa.array(often), none, pa.nulls(len(often), pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([none, none, pa.array(-counted[often].astype(np.int64)), pa.array(often), none, *[pa.nulls(len(often), pa.binary())] * 2], names=names)
 
-    return docs.mapInArrow(of, "doc_id bigint, row bigint, n bigint, s1 bigint, s2 bigint, point binary")
+    return docs.mapInArrow(of, "doc_id bigint, row bigint, n bigint, s1 bigint, s2 bigint, point binary, fine binary")
 
 
 def _keys(docs: DataFrame, frequent: np.ndarray, counts: np.ndarray) -> DataFrame:
@@ -203,17 +222,39 @@ def _shared(keys: DataFrame) -> DataFrame:
     return keys.repartition("key", "salt").sortWithinPartitions("key", "salt", "s1").mapInArrow(of, "key bigint, s1 bigint, hub bigint, hot boolean")
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def admitted(pairs: DataFrame, classes: DataFrame, points: DataFrame) -> DataFrame:
+    """Of the pairs (a, b) those whose fine points may overlap enough: unlike texts end here, whatever their length."""
+    ids = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
+    ids = small(materialise(ids.join(classes.select("sid", "n", F.col("doc_id").alias("d"), F.col("row").alias("r")), "sid"), "ids"))
+    found = points.select("doc_id", "row", "fine").join(ids, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r")))
+    found = materialise(found.select("sid", "n", "fine"), "fine")
+    p, q = (found.select(F.col("sid").alias(x), F.col("n").alias(f"{x}_n"), F.col("fine").alias(f"{x}_fine")) for x in "ab")
+    rows = pairs.join(p, "a").join(q, "b").select("a", "b", "a_n", "b_n", "a_fine", "b_fine")
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (batch.column(k).to_numpy() for k in (2, 3))
+            least = needed(n, m).tolist()
+            fit = [fine_bound(x.as_py(), y.as_py()) >= k for x, y, k in zip(batch.column(4), batch.column(5), least, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(fit, pa.bool_()))
+
+    return rows.mapInArrow(of, "a bigint, b bigint").distinct()
+
+
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """Of the pairs (a, b) of classes those that link, decided on their sets.
 
     ``b`` leads: its text is sent once for each MEMBERS of its partners, theirs
-    once for each pair, and the tasks read them leader first.
+    once for each pair, and the tasks read them leader first. Only texts that
+    pairs ask for are moved: the requests go to the documents' tasks when they
+    are few, and else meet them in a shuffled join.
     """
-    parts = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("parts"))
-    members = pairs.join(parts, "b").select("a", "b", F.pmod(F.hash("a"), "parts").alias("part")).join(
-        texts, F.col("a") == F.col("sid")).select("b", "part", F.lit(1).alias("role"), "sid", "text")
-    leaders = parts.join(texts, F.col("b") == F.col("sid")).select(
-        "b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), "sid", "text")
+    parts = materialise(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("parts")), "parts")
+    members = pairs.join(parts, "b").select("b", F.pmod(F.hash("a"), "parts").alias("part"), F.lit(1).alias("role"), F.col("a").alias("sid"))
+    leaders = parts.select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), F.col("b").alias("sid"))
+    requests = members.unionByName(leaders).join(classes.select("sid", F.col("doc_id").alias("d"), F.col("row").alias("r")), "sid")
+    requests = small(materialise(requests, "requests"))
+    rows = docs.join(requests, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r"))).select("b", "part", "role", "sid", "text")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leader, own = None, None
@@ -227,7 +268,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     found.append((sid, b))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    rows = members.unionByName(leaders).repartition("b", "part").sortWithinPartitions("b", "part", "role", "sid")
+    rows = rows.repartition("b", "part").sortWithinPartitions("b", "part", "role", "sid")
     return rows.mapInArrow(of, "a bigint, b bigint")
 
 
@@ -380,31 +421,29 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     least_hub = hubs.groupBy("key").agg(F.min("hub").alias("least"))
     across = hubs.join(least_hub, "key").where("hub <> least").select("hub", "least").distinct()
     across = named(named(across, "hub", "a"), "least", "b").select("a", "b")
-    pairs = materialise(led.unionByName(across).where("a <> b").distinct(), "pairs")
+    tested = materialise(led.unionByName(across).where("a <> b").distinct(), "pairs")
+    pairs = materialise(admitted(tested, classes, rows), "pairs")
     shared = materialise(named(shared.select("key", "s1"), "s1", "sid").select("key", "sid"), "shards")
-
-    used = shared.select("sid").distinct()
-    wanted = classes.join(used, "sid").select("sid", F.col("doc_id").alias("d"), F.col("row").alias("r"))
-    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r"))).select("sid", "text").dropDuplicates(["sid"])
-    texts = materialise(texts, "texts")
     release(spark)
 
-    links = materialise(verified(pairs, texts), "links")
+    links = materialise(verified(pairs, classes, docs), "links")
+    release(spark)
     roots = components(links)
-    tested = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    tested = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     for turn in TURNS:
         residual = materialise(_residual(shared, classes, roots), "residual")
         if residual.isEmpty():
             break
-        pairs = materialise(_candidates(residual, turn).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = tested.unionByName(pairs)
+        new = materialise(_candidates(residual, turn).distinct().join(tested, ["a", "b"], "left_anti"), "candidates")
+        tested = tested.unionByName(new)
+        release(spark)
+        pairs = materialise(admitted(new, classes, rows), "pairs")
         if pairs.isEmpty():
             continue
-        more = materialise(verified(pairs, texts), "links")
+        more = materialise(verified(pairs, classes, docs), "links")
         links = links.unionByName(more)
         roots = components(links)
         release(spark)
-    remove(spark, texts)
 
     known = classes.select("s1", "s2", "sid", "doc_id").join(roots, F.col("sid") == F.col("node"), "left").select(
         "s1", "s2", "sid", "doc_id", F.coalesce("root", "sid").alias("root"))
