@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op5_byte_bpe
+from .chat import op4_chat_repair
 from .classifier import op7_quality_classifier
 from .html import op1_html_text
 from .jpeg import op9_media_jpeg
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_html_text": op1_html_text,
     "op2_quality_rules": op2_quality_rules,
     "op3_ngram_jaccard": op3_ngram_jaccard,
+    "op4_chat_repair": op4_chat_repair,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_mix_sources": op6_mix_sources,
     "op7_quality_classifier": op7_quality_classifier,
