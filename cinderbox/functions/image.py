@@ -68,7 +68,8 @@ def boxes_drawn(data: pd.Series, h: pd.Series, w: pd.Series, c: pd.Series, boxes
     out = []
     for d, hh, ww, cc, bs in zip(data, h, w, c, boxes, strict=True):
         im = _image(d, hh, ww, cc).copy()
-        for x1, y1, x2, y2, r, g, b in ([] if bs is None else bs):
+        for box in [] if bs is None else bs:
+            x1, y1, x2, y2, r, g, b = box.values() if isinstance(box, dict) else box
             x1, x2 = (int(np.clip(x, 0, ww - 1)) for x in (x1, x2))
             y1, y2 = (int(np.clip(y, 0, hh - 1)) for y in (y1, y2))
             colour = np.array([b, g, r])[:cc]

@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
 FRAME = "frame_id long, ts timestamp, height int, width int, n_channels int, data binary"
 
@@ -91,7 +91,7 @@ def map_files(spark: SparkSession, path: str, glob: str = "*.yaml") -> DataFrame
     """One row for each file in path order: path, and its entries as a map of text. In bulk, so parsed on the executors."""
     entries = F.filter(F.split("value", "\n"), lambda x: x.rlike(r"^[^\s#:][^:]*:\s*\S"))
     split = F.transform(entries, lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("key"), F.trim(F.regexp_replace(F.regexp_replace(x, r"^[^:]*:\s*", ""), r"\s+#.*$", "")).alias("value")))
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", glob).text(path)
+    files = spark.read.option("pathGlobFilter", glob).text(path, wholetext=True)
     return files.select(F.input_file_name().alias("path"), F.map_from_entries(split).alias("entries")).orderBy("path")
 
 
@@ -136,9 +136,6 @@ class FrameSource(DataSource):
     def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
         return _FrameStream(self)
 
-    def streamReader(self, schema) -> DataSourceStreamReader:
-        raise NotImplementedError  # Spark then asks for the simple reader
-
     def row(self, i: int) -> tuple:
         import datetime
 
