@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -60,10 +61,17 @@ def run_batches(stream: DataFrame, plan: Callable[[DataFrame], DataFrame], path:
         if hooks:
             hooks.run("on_train_batch_end", number)
 
-    query: StreamingQuery = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint or f"{path}-state").trigger(availableNow=True).start()
-    while not query.awaitTermination(1):
-        if hooks and hooks.stop:
-            query.stop()
+    query: StreamingQuery = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint or f"{path}-state").start()
+    try:
+        if hooks is None:
+            query.processAllAvailable()
+        while hooks is not None and query.isActive and not hooks.stop:
+            time.sleep(0.1)
+            last = query.lastProgress
+            if last is not None and not last.numInputRows and not query.status["isDataAvailable"]:
+                break
+    finally:
+        query.stop()
     if query.exception():
         raise query.exception()
     return stream.sparkSession.read.parquet(path).drop("batch")
