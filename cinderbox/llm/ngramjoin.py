@@ -13,8 +13,9 @@ How the index is spread over a cluster without losing a link:
   names a shard, and a set's point goes to the shards of its prefix. The order
   puts frequent groups of shingles last, so what many documents share rarely
   names a shard. The frequent groups are a bounded table and affect speed only.
-* Shards with one class end there. In the others each class is first compared
-  with one hub, the class that leads most of its shards; large groups of near
+* Shards with one class end there, and of shards with the same classes one goes
+  on. Each class is first compared with one hub, the class that leads most of its
+  shards; large groups of near
   copies become one component by a number of comparisons in proportion to it.
 * Shards whose classes still lie in different components are indexed: an R-tree
   over their points (upper corners of group counts, ranges of set sizes) yields,
@@ -222,6 +223,17 @@ def _shared(keys: DataFrame) -> DataFrame:
     return keys.repartition("key", "salt").sortWithinPartitions("key", "salt", "s1").mapInArrow(of, "key bigint, s1 bigint, hub bigint, hot boolean")
 
 
+def _told_apart(shared: DataFrame) -> DataFrame:
+    """Shards with the same classes hold the same pairs, as all shingles of a shared passage do: one of each kind stays.
+
+    Kinds are told by 128 bits and a count, whatever the order of the classes.
+    """
+    bits = lambda seed: F.bit_xor(F.xxhash64(F.lit(seed), F.col("s1")))
+    kinds = shared.groupBy("key").agg(bits(1).alias("x"), bits(2).alias("y"), F.count(F.lit(1)).alias("c"))
+    kept = small(materialise(kinds.groupBy("x", "y", "c").agg(F.min("key").alias("key")).select("key"), "kinds"))
+    return materialise(shared.join(kept, "key", "left_semi"), "shared")
+
+
 def admitted(pairs: DataFrame, classes: DataFrame, points: DataFrame) -> DataFrame:
     """Of the pairs (a, b) those whose fine points may overlap enough: unlike texts end here, whatever their length."""
     ids = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
@@ -410,7 +422,7 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     classes = materialise(classes.select("s1", "s2", "n", "point", F.col("m.doc_id").alias("doc_id"), F.col("m.row").alias("row"),
                                          F.monotonically_increasing_id().alias("sid")), "classes")
 
-    shared = materialise(_shared(_keys(docs, frequent, counts)), "shared")
+    shared = _told_apart(materialise(_shared(_keys(docs, frequent, counts)), "shared"))
     release(spark)
     by_name = classes.select(F.col("s1").alias("c1"), "sid")
     named = lambda df, c, out: df.join(by_name, F.col(c) == F.col("c1")).withColumnRenamed("sid", out).drop("c1")
