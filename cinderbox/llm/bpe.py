@@ -12,7 +12,7 @@ and sends its content, about a megabyte, to the workers.
 
 Defined cases: null and empty texts have no tokens; lone surrogates cannot occur
 in a Spark string; texts of any length are encoded whole; repeated rows give
-equal results; other columns pass by.
+equal results; other columns pass by, except those named like a result.
 """
 
 from __future__ import annotations
@@ -172,8 +172,8 @@ def decode_column(df: DataFrame, path: str, pattern: str, ids: str = "token_ids"
 def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """The other columns of ``df`` with n_tokens, ids_sha256 and decoded_sha256, without sending ids to the JVM."""
     content, digest = _shared(df.sparkSession, path, pattern)
-    kept = [c for c in df.columns if c != text]
-    schema = ", ".join([f"`{c}` {t}" for c, t in df.dtypes if c != text] + ["n_tokens bigint", "ids_sha256 string", "decoded_sha256 string"])
+    kept = [c for c in df.columns if c not in (text, "n_tokens", "ids_sha256", "decoded_sha256")]
+    schema = ", ".join([f"`{c}` {t}" for c, t in df.dtypes if c in kept] + ["n_tokens bigint", "ids_sha256 string", "decoded_sha256 string"])
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _held(digest, content, pattern)

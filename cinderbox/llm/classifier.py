@@ -14,7 +14,7 @@ Defined cases: null and empty texts score the model's prior (the bias alone);
 texts of any length count whole; repeated rows score alike; rows without a label
 or with a null id or label are never learned from; with no labels at all, or
 labels of one class, every score is that class's share (0.5 with none); other
-columns are ignored.
+columns pass by, except one named score.
 """
 
 from __future__ import annotations
@@ -257,8 +257,8 @@ def score_column(docs: DataFrame, model: Model, text: str = "text") -> DataFrame
     """The other columns of ``docs`` with ``score``."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x DIM numbers, whatever the data
     number = uuid.uuid4().hex
-    kept = [c for c in docs.columns if c != text]
-    schema = ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes if c != text), "score double"])
+    kept = [c for c in docs.columns if c not in (text, "score")]
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes if c in kept), "score double"])
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(number, sent)

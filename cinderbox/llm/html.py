@@ -17,7 +17,8 @@ text of scripts and styles, quoted attributes, implied end tags, and a tag that
 the page's end cuts off is not text.
 
 Defined cases: null, empty and textless pages give an empty text; pages of any
-length are read whole; repeated rows give equal texts; other columns pass by.
+length are read whole; repeated rows give equal texts; other columns pass by, except those
+named like a result.
 """
 
 from __future__ import annotations
@@ -326,7 +327,7 @@ def label(net: Network, pages: list[list[Block]]) -> list[list[bool]]:
 
 # ---------------------------------------------------------------- training pages
 
-MARK = ""  # begins each article block of a training page
+MARK = "\ue000"  # begins each article block of a training page
 _SYLLABLES = "the and ing tion er ou re st an en on th is ed sch ung ein ich auf lich keit ent ción ado ez que mente los llo eau eux oi ré è ç ü ö ß ñ ly ble sh wh".split()
 _JUNK = {
     "nav": (["<nav>", '<ul class="menu">', '<div id="nav">', '<div class="navbar">', '<div class="breadcrumb">', '<div class="navigation">', '<ul id="menu">', '<div class="main-menu">', '<div role="navigation">'], "home about contact archive login products blog next previous"),
@@ -487,8 +488,8 @@ def main_text(net: Network, pages: list[str | None]) -> list[str]:
 def extract(df: DataFrame, html: str = "html", out: str = "text") -> DataFrame:
     """The other columns of ``df`` with the page's main text and its length ``n_chars``."""
     sent = df.sparkSession.sparkContext.broadcast(trained())
-    kept = [c for c in df.columns if c != html]
-    schema = ", ".join([*(f"`{c}` {t}" for c, t in df.dtypes if c != html), f"`{out}` string, n_chars bigint"])
+    kept = [c for c in df.columns if c not in (html, out, "n_chars")]
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in df.dtypes if c in kept), f"`{out}` string, n_chars bigint"])
 
     def extracted(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = sent.value

@@ -14,7 +14,7 @@ are decoded bit by bit.
 
 Defined cases: null and empty texts become one row of bytes 255; texts of any
 length are stored whole (several images); equal texts give equal values; other
-columns pass by. Bytes that are no baseline JPEG raise ``ValueError``.
+columns pass by, except those named like a result. Bytes that are no baseline JPEG raise ``ValueError``.
 """
 
 from __future__ import annotations
@@ -364,6 +364,7 @@ def _chunks(texts: list[str | None]) -> Iterator[list[tuple[int, bytes]]]:
 
 def store_column(df: DataFrame, text: str = "text", out: str = "media") -> DataFrame:
     """``df`` with the text stored as a binary JPEG column."""
+    df = df.drop(out)
     schema = ", ".join([*(f"`{c}` {t}" for c, t in df.dtypes), f"`{out}` binary"])
     at = df.columns.index(text)
 
@@ -380,6 +381,7 @@ def thumbnail_column(df: DataFrame, media: str = "media", out: str = "thumbnail"
 
     Null and empty values have no images.
     """
+    df = df.drop(out)
     fields = "width int, height int, thumb_width int, thumb_height int, samples binary, hash string"
     schema = ", ".join([*(f"`{c}` {t}" for c, t in df.dtypes), f"`{out}` array<struct<{fields.replace(' ', ':').replace(',:', ',')}>>"])
     at = df.columns.index(media)
@@ -405,8 +407,9 @@ def thumbnail_column(df: DataFrame, media: str = "media", out: str = "thumbnail"
 
 def media_features(df: DataFrame, text: str = "text") -> DataFrame:
     """The other columns with what the stored bytes of ``text`` say when read back."""
-    kept = [c for c in df.columns if c != text]
-    schema = ", ".join([*(f"`{c}` {t}" for c, t in df.dtypes if c != text),
+    names = "n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature".split()
+    kept = [c for c in df.columns if c != text and c not in names]
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in df.dtypes if c in kept),
                         "n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"])
     out = pa.schema([("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()),
                      ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])

@@ -8,7 +8,7 @@ rate is above ``max_host_rate`` takes its documents with it.
 
 Defined cases: null and empty texts have no words and fail; null hosts form one
 host; repeated rows count as often as they occur; an empty table gives an empty
-result; other columns are ignored (the statistics use reserved names only).
+result; other columns stay as they are, and those named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -125,8 +125,9 @@ def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", max
     base = base_rules(docs, text)
     base = materialise(base if keep_text else base.drop(text), "quality")
     rates = host_rates(base.select(host, "base_failed"), host)
-    joined = base.join(rates.withColumnRenamed("__host", "__h"), F.col(host).eqNullSafe(F.col("__h")), "left")
-    return joined.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("host_rate"), F.lit(0.0)) <= max_host_rate)).drop("__h", "host_docs", "host_fails")
+    rates = rates.select(F.col("__host").alias("__h"), F.col("host_rate").alias("__rate"))
+    joined = base.join(rates, F.col(host).eqNullSafe(F.col("__h")), "left").withColumn("host_rate", F.col("__rate"))
+    return joined.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("host_rate"), F.lit(0.0)) <= max_host_rate)).drop("__h", "__rate")
 
 
 def op2_quality_rules(spark, sf_dir):

@@ -69,6 +69,15 @@ def test_word_count(spark):
     assert got == sorted((t or "", len(WORDS(t or ""))) for _, t, _ in edge_rows())
 
 
+def test_columns_named_like_results(spark):
+    names = ["n_words", "host_rate", "kept", "host_docs", "n_tokens", "ids_sha256", "score", "n_bytes", "feature", "media", "thumbnail", "size", "copies", "n_shingles", "key"]
+    df = docs_of(spark, edge_rows()[:4]).withColumns({n: F.lit(1) for n in names})
+    model = classifier.fit(["a", "b"], [1, 0])
+    for out in (quality.quality_rules(df), bpe.round_trip(df, *bpe.public_vocabulary()), classifier.score_column(df, model), jpeg.media_features(df),
+                jpeg.thumbnail_column(jpeg.store_column(df)), mixing.mix_plan(df), mixing.mix(df), html.extract(df.withColumnRenamed("text", "html"))):
+        assert len(set(out.columns)) == len(out.columns) and out.count() >= 1
+
+
 # ---------------------------------------------------------------- op2
 
 def base_of(text):
