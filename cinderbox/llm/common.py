@@ -70,11 +70,20 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sweep(spark: SparkSession) -> None:
-    """Delete all work tables; for when every result that reads them is itself written."""
+def kept_apart(build) -> tuple[DataFrame, list[str]]:
+    """What ``build()`` returns, and the paths of the work tables that it wrote."""
+    mark = len(_WRITTEN)
+    out = build()
+    paths = _WRITTEN[mark:]
+    del _WRITTEN[mark:]
+    return out, paths
+
+
+def sweep(spark: SparkSession, paths: list[str]) -> None:
+    """Delete work tables; for when every result that reads them is itself written. Empties the list."""
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _WRITTEN:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+    while paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(paths.pop())
         path.getFileSystem(conf).delete(path, True)
     release(spark)
 
