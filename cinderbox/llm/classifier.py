@@ -22,7 +22,7 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import islice
 from operator import eq
@@ -185,7 +185,7 @@ class Scorer:
             self.held = np.concatenate([self.held, self.model.words(words)])
             self.chars += size
 
-    def scores(self, texts: list[str | None]) -> list[float]:
+    def scores(self, texts: Iterable[str | None]) -> list[float]:
         """Scores of texts, in chunks whose new words are learned together."""
         out: list[float] = []
         held: list[list[str]] = []
@@ -263,7 +263,7 @@ def score_column(docs: DataFrame, model: Model, text: str = "text") -> DataFrame
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(number, sent)
         for b in batches:
-            scores = scorer.scores(b.column(len(kept)).to_pylist())
+            scores = scorer.scores(x.as_py() for x in b.column(len(kept)))
             yield pa.RecordBatch.from_arrays([*b.columns[:len(kept)], pa.array(scores, pa.float64())], names=[*kept, "score"])
 
     return docs.select(*kept, text).mapInArrow(scored, schema)

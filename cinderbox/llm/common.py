@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
+import shutil
 import tempfile
 import uuid
 
@@ -46,6 +48,7 @@ def shared_dir(spark: SparkSession) -> str:
         if current.isDefined():
             return current.get()
         path = tempfile.mkdtemp(prefix="cinderbox-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
         path = f"file://{path}"
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(path)

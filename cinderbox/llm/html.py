@@ -495,7 +495,7 @@ def extract(df: DataFrame, html: str = "html", out: str = "text") -> DataFrame:
         net = sent.value
         for b in rows:
             texts, held, size = [], [], 0
-            for page in b.column(len(kept)).to_pylist():
+            for page in (x.as_py() for x in b.column(len(kept))):
                 held.append(page)
                 size += len(page or "")
                 if size >= CHUNK:

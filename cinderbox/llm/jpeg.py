@@ -23,7 +23,7 @@ import hashlib
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -350,7 +350,7 @@ def _described(media: list[bytes]) -> list[tuple[bytes, str]]:
 CHUNK = 4 << 20
 
 
-def _chunks(texts: list[str | None]) -> Iterator[list[tuple[int, bytes]]]:
+def _chunks(texts: Iterable[str | None]) -> Iterator[list[tuple[int, bytes]]]:
     held, size = [], 0
     for t in texts:
         held.append(payload_of(t))
@@ -417,7 +417,7 @@ def media_features(df: DataFrame, text: str = "text") -> DataFrame:
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for part in _chunks(b.column(len(kept)).to_pylist()):
+            for part in _chunks(x.as_py() for x in b.column(len(kept))):
                 media = encode([p for _, p in part])
                 for (n, _), m, (back, feature) in zip(part, media, _described(media), strict=True):
                     rows.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(m), hashlib.sha256(m).hexdigest(), feature))

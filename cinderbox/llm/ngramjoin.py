@@ -272,8 +272,8 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
         leader, own = None, None
         for batch in batches:
             found = []
-            for b, part, role, sid, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                s = shingles(text)
+            for b, part, role, sid, text in zip(*(c.to_pylist() for c in batch.columns[:4]), batch.column(4), strict=True):
+                s = shingles(text.as_py())
                 if role == 0:
                     leader, own = (b, part), s
                 elif leader == (b, part) and len(np.intersect1d(own, s, assume_unique=True)) >= needed(len(own), len(s)):

@@ -207,7 +207,7 @@ def archives(pages: DataFrame, captured: str = CAPTURED) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([f"part-{n}.warc.gz"]), pa.array([warc], pa.binary())], names=["name", "archive"])
 
         for b in batches:
-            for page, url, html, first, first_url in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for page, url, html, first, first_url in zip(*((x.as_py() for x in c) for c in b.columns), strict=True):
                 head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(html)}\r\n\r\n".encode()
                 revisit = None if first is None or first == page else (first, clean_url(first_url))
                 held.append((ArcRecord(clean_url(url), "0.0.0.0", captured, "text/html", head + html), page, revisit))
