@@ -108,6 +108,8 @@ def search(spark: SparkSession, evaluate: Callable[[DataFrame], DataFrame], gene
     rows, so each generation's scores are fetched and start the next plan: the
     lineage stays short and nothing depends on an executor's memory.
     """
+    if generations < 1:
+        raise ValueError("a search needs a generation")
     lo = [g[2] for g in GENES if g[1]] if lo is None else lo
     hi = [g[3] for g in GENES if g[1]] if hi is None else hi
     current, best = initial(spark, lo, hi, seeds, seed, population), ([], float("-inf"))

@@ -121,14 +121,14 @@ def det_rescale(spark, sf_dir):
     return boxes.rescale(x, (416, 416), (480, 640)).select("event_id", *boxes.BOX)
 
 
-@query(f"""WITH {_BOXES}, t AS (SELECT event_id AS truth_id, frame_id, cls, (event_id * 41) % 60 AS x1, (event_id * 43) % 60 AS y1 FROM b WHERE event_id % 2 = 0),
+@query(f"""WITH {_BOXES}, t AS (SELECT event_id AS truth_id, frame_id, cls, (event_id * 41) % 60 AS x1, (event_id * 43) % 60 AS y1 FROM b),
 m AS (SELECT frame_id, cls, p.event_id AS pred_id, truth_id, ({_INTER})::DOUBLE / (3200 - {_INTER}) AS iou FROM b p JOIN t q USING (frame_id, cls)),
 f AS (SELECT *, row_number() OVER (PARTITION BY pred_id ORDER BY iou DESC, truth_id) AS n FROM m WHERE iou >= 0.5),
 g AS (SELECT *, row_number() OVER (PARTITION BY truth_id ORDER BY iou DESC, pred_id) AS n2 FROM f WHERE n = 1)
 SELECT event_id AS pred_id, g.truth_id, g.iou FROM b LEFT JOIN (SELECT * FROM g WHERE n2 = 1) g ON g.pred_id = b.event_id""")
 def det_match(spark, sf_dir):
     x = events_as_boxes(spark, sf_dir)
-    t = x.where("event_id % 2 = 0").select("frame_id", "cls", F.col("event_id").alias("truth_id"), ((F.col("event_id") * 41) % 60).alias("x1"), ((F.col("event_id") * 43) % 60).alias("y1"))
+    t = x.select("frame_id", "cls", F.col("event_id").alias("truth_id"), ((F.col("event_id") * 41) % 60).alias("x1"), ((F.col("event_id") * 43) % 60).alias("y1"))
     t = t.withColumns({"x2": F.col("x1") + 40, "y2": F.col("y1") + 40})
     return boxes.match(x.withColumnRenamed("event_id", "pred_id"), t, ["frame_id", "cls"]).select("pred_id", "truth_id", "iou")
 
@@ -142,9 +142,9 @@ def det_annotated_frames(spark, sf_dir):
     return out.select("frame_id", F.array_join("labels", "; ").alias("labels"))
 
 
-@query("SELECT event_id, 'FF3838' AS colour FROM events WHERE event_id % 10 = 0 UNION ALL SELECT event_id, 'FF9D97' FROM events WHERE event_id % 10 = 1")
+@query(f"SELECT event_id, ({live.PALETTE!r})[event_id % 10 + 1] AS colour FROM events")
 def class_colour(spark, sf_dir):
-    return table(spark, sf_dir, "events").where("event_id % 10 < 2").select("event_id", E.colour(F.col("event_id"), live.PALETTE).alias("colour"))
+    return table(spark, sf_dir, "events").select("event_id", E.colour(F.col("event_id"), live.PALETTE).alias("colour"))
 
 
 # ---------------------------------------------------------------- runs
@@ -283,9 +283,9 @@ def clamp_interp(spark, sf_dir):
         E.accumulate_steps(s).alias("accumulate"), E.warmup_steps(3.0, s).alias("steps"))
 
 
-@query("SELECT p_partkey, concat('weight_decay=', (p_size * 0.5)::VARCHAR, ', box=', (p_size / 4.0)::DOUBLE::VARCHAR) AS text FROM part WHERE p_size % 4 = 2")
+@query("SELECT p_partkey, concat('weight_decay=', (p_size * 0.5)::DOUBLE::VARCHAR, ', box=', (p_size / 4.0)::DOUBLE::VARCHAR) AS text FROM part")
 def hyp_text(spark, sf_dir):
-    x = table(spark, sf_dir, "part").where("p_size % 4 = 2")
+    x = table(spark, sf_dir, "part")
     m = F.create_map(F.lit("weight_decay"), F.col("p_size").cast("double"), F.lit("box"), F.col("p_size").cast("double"), F.lit("anchors"), F.lit(3.0))
     return x.select("p_partkey", E.map_text(E.map_without(E.scaled_map(m, {"weight_decay": F.lit(0.5), "box": F.lit(0.25)}), ["anchors"])).alias("text"))
 
@@ -421,11 +421,11 @@ def _genes(spark, sf_dir):
 @query(f"""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS g, len(embedding) AS n FROM embeddings),
 c AS (SELECT a.vec_id, CASE WHEN ({_U.format("'1:30:' || a.vec_id || ':cross'")})::DOUBLE < 0.9
   THEN list_concat(a.g[1:k], b.g[k + 1:a.n]) ELSE a.g END AS g FROM
-  (SELECT *, (floor(({_U.format("'1:30:' || vec_id || ':cut'")})::DOUBLE * 63) + 1)::INT AS k FROM e WHERE vec_id % 2 = 0) a JOIN e b ON b.vec_id = a.vec_id + 1)
+  (SELECT *, (floor(({_U.format("'1:30:' || vec_id || ':cut'")})::DOUBLE * 63) + 1)::INT AS k FROM e) a JOIN e b ON b.vec_id = a.vec_id + 1)
 SELECT vec_id, (unnest(range(len(g))))::INT AS pos, unnest(g) AS value FROM c""")
 def crossover(spark, sf_dir):
     g = _genes(spark, sf_dir)
-    pairs = g.where("vec_id % 2 = 0").join(g.select((F.col("vec_id") - 1).alias("vec_id"), F.col("genes").alias("other")), "vec_id")
+    pairs = g.join(g.select((F.col("vec_id") - 1).alias("vec_id"), F.col("genes").alias("other")), "vec_id")
     child = pairs.select("vec_id", ga.crossed(F.col("genes"), F.col("other"), 30, 300, F.col("vec_id"), 1, 64).alias("genes"))
     return labels.concatenated(child, "genes", ["vec_id"])
 
