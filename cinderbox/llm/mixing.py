@@ -80,8 +80,9 @@ def _sampled(sizes: DataFrame, source: str) -> DataFrame:
     x = running_sums(x, order, {"__cum": F.col("size")}, "ranked")
     x = x.withColumn("__cum", F.col("__cum") - F.col("__start")).withColumn("__in", F.col("__cum") <= F.col("__rest"))
     x = materialise(x, "sampled")
-    cut = x.groupBy(F.col("__source").alias("__c")).agg(
-        (F.first("__rest") - F.coalesce(F.max(F.when(F.col("__in"), F.col("__cum"))), F.lit(0))).alias("__gap"))
+    # one row a source, written: the join with a hot source's rows then knows that this side is small
+    cut = materialise(x.groupBy(F.col("__source").alias("__c")).agg(
+        (F.first("__rest") - F.coalesce(F.max(F.when(F.col("__in"), F.col("__cum"))), F.lit(0))).alias("__gap")), "gaps")
     left = x.where(~F.col("__in")).join(cut, F.col("__source").eqNullSafe(F.col("__c")))
     extra = left.where(F.col("size") < 2 * F.col("__gap")).groupBy("__c").agg(
         F.min(F.struct(F.abs(F.col("size") - F.col("__gap")).alias("d"), F.col("__rank").alias("r")))["r"].alias("__extra")).select("__extra")
