@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 #: Pieces that a worker remembers, twice: at the bound it starts a new table and keeps the one before.
-MEMORY = 500_000
+MEMORY = 150_000
 #: Longer pieces are encoded each time that they occur.
 REMEMBERED_LENGTH = 64
 #: Spare bits of a packed rank hold the position.

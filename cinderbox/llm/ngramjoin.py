@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialise, release, small, table
+from .common import batch_rows, components, materialise, release, small, table
 
 WORDS, PERCENT = 5, 80
 #: Coordinates of a point.
@@ -60,6 +60,8 @@ SALTS, BLOCK, LEAF, MEMBERS = 32, 1024, 32, 200
 TURNS = ((0, 4), (4, 64), (64, 1 << 62))
 #: Sets whose keys a task has sent already (copies in one task are sent once).
 SENT = 1 << 20
+#: Texts in a batch that goes to a Python worker.
+TEXTS = 500
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -413,7 +415,8 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.xxhash64(text).alias("row"), F.col(text).alias("text"))
-    found = materialise(_points(docs), "points")
+    with batch_rows(spark, TEXTS):
+        found = materialise(_points(docs), "points")
     groups = found.where("n < 0").groupBy("s1").agg((-F.sum("n")).alias("c")).orderBy(F.desc("c"), "s1").limit(KNOWN).orderBy("s1").toPandas()
     frequent, counts = groups["s1"].to_numpy(np.int64), groups["c"].to_numpy(np.int64)
     rows = found.where("n >= 0")
@@ -438,7 +441,8 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     shared = materialise(named(shared.select("key", "s1"), "s1", "sid").select("key", "sid"), "shards")
     release(spark)
 
-    links = materialise(verified(pairs, classes, docs), "links")
+    with batch_rows(spark, TEXTS):
+        links = materialise(verified(pairs, classes, docs), "links")
     release(spark)
     roots = components(links)
     tested = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
@@ -452,7 +456,8 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
         pairs = materialise(admitted(new, classes, rows), "pairs")
         if pairs.isEmpty():
             continue
-        more = materialise(verified(pairs, classes, docs), "links")
+        with batch_rows(spark, TEXTS):
+            more = materialise(verified(pairs, classes, docs), "links")
         links = links.unionByName(more)
         roots = components(links)
         release(spark)

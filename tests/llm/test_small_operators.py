@@ -487,6 +487,14 @@ def test_jaccard_against_brute_force(spark, monkeypatch, leaf, block, members, f
     assert got == jaccard_components(rows)
 
 
+def test_jaccard_of_nothing(spark):
+    assert ngramjoin.near_duplicates(docs_of(spark, [])).count() == 0
+    got = ngramjoin.near_duplicates(docs_of(spark, [(1, None, "s"), (2, "", "s")])).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == [(1, 0, 1), (2, 0, 2)]
+    assert ngramjoin.keep_one(docs_of(spark, [])).count() == 0 and mixing.mix(docs_of(spark, [])).count() == 0
+    assert quality.quality_rules(docs_of(spark, [])).count() == 0
+
+
 def test_rtree_loses_nothing():
     rng = np.random.default_rng(12)
     sets = [np.unique(rng.integers(0, 2 ** 63, rng.integers(5, 400)).astype(np.uint64) * np.uint64(2)) for _ in range(300)]
