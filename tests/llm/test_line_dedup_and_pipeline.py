@@ -101,6 +101,13 @@ def test_line_dedup_against_all_pairs(spark):
     assert sum(r.lines_in - r.lines_out for r in got) > 20
 
 
+def test_lines_are_told_apart_by_letters_and_digits(spark):
+    line = "One, two three: four-five six 7 ünf"
+    rows = [(1, line), (2, line + "\r"), (3, "one\ttwo\tthree\tfour\tfive\tsix\t7\tÜnf"), (4, "  One two  three four five (six) 7 ünf!"), (5, "One two three four five six 8 other")]
+    got = {r.doc_id: r.lines_out for r in linededup.dedup_lines(docs_of(spark, [(i, t, "s") for i, t in rows])).collect()}
+    assert got == {1: 1, 2: 0, 3: 0, 4: 0, 5: 1}
+
+
 def test_simhash_widths_agree(spark):
     df = docs_of(spark, [(i, t, "s") for i, t in like_lines()])
     x = df.select("doc_id", F.lit(1).alias("row"), F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("doc_id", "row", "pos", linededup.normalised(F.col("line")).alias("norm"))
