@@ -108,6 +108,13 @@ def test_lines_are_told_apart_by_letters_and_digits(spark):
     assert got == {1: 1, 2: 0, 3: 0, 4: 0, 5: 1}
 
 
+def test_repetitive_and_unspaced_lines_take_part(spark):
+    once = ["no no no no no", "ha " * 73, "今天天气很好我们去公园", "ひらがな、カタカナ", "สวัสดีชาวโลก", "one two two two two"]
+    rows = [(i, "\n".join([*once, "a b b a"])) for i in range(2)] + [(2, "今天天气\n今天天气")]
+    got = {r.doc_id: r for r in linededup.dedup_lines(docs_of(spark, [(i, t, "s") for i, t in rows])).collect()}
+    assert [got[i].lines_out for i in range(3)] == [7, 1, 2] and got[1].text == "a b b a"
+
+
 def test_simhash_widths_agree(spark):
     df = docs_of(spark, [(i, t, "s") for i, t in like_lines()])
     x = df.select("doc_id", F.lit(1).alias("row"), F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("doc_id", "row", "pos", linededup.normalised(F.col("line")).alias("norm"))
