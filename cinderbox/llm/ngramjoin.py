@@ -409,9 +409,10 @@ def _residual(shared: DataFrame, classes: DataFrame, roots: DataFrame | None) ->
 
 
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One row for each row of ``docs``: doc_id, row (a hash of the text), n_shingles, component_id, class_id.
+    """One row for each row of ``docs``: doc_id, row (a hash of the text), n_shingles, component_id, class_id, root.
 
-    ``class_id`` is the same for equal sets (null for empty ones).
+    ``class_id`` is the same for equal sets and ``root`` for a component's rows (both null for empty sets);
+    ``component_id`` is the component's smallest doc_id, which is no name of its own where ids are null or repeated.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.xxhash64(text).alias("row"), F.col(text).alias("text"))
@@ -465,17 +466,17 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     known = classes.select("s1", "s2", "sid", "doc_id").join(roots, F.col("sid") == F.col("node"), "left").select(
         "s1", "s2", "sid", "doc_id", F.coalesce("root", "sid").alias("root"))
     best = known.groupBy("root").agg(F.min("doc_id").alias("component"))
-    known = known.join(best, "root").select(F.col("s1").alias("k1"), F.col("s2").alias("k2"), "sid", "component")
+    known = known.join(best, "root").select(F.col("s1").alias("k1"), F.col("s2").alias("k2"), "sid", "root", "component")
     out = rows.join(known, (F.col("s1") == F.col("k1")) & (F.col("s2") == F.col("k2")) & (F.col("n") > 0), "left")
     return out.select("doc_id", "row", F.col("n").alias("n_shingles"),
-                      F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), F.col("sid").alias("class_id"))
+                      F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), F.col("sid").alias("class_id"), "root")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each component, that of the smallest id; documents with empty sets stay."""
     found = materialise(near_duplicates(docs), "components")
     # rows that agree in id and text are told apart by nothing; one of them stays
-    chosen = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "row")).alias("m"), F.count(F.lit(1)).alias("c"))
+    chosen = found.where("n_shingles > 0").groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("m"), F.count(F.lit(1)).alias("c"))
     chosen = chosen.select("m.doc_id", "m.row").unionByName(found.where("n_shingles = 0").select("doc_id", "row").distinct())
     chosen = materialise(chosen.select(F.col("doc_id").alias("__d"), F.col("row").alias("__r")), "chosen")
     kept = docs.withColumn("__row", F.xxhash64("text")).join(

@@ -520,3 +520,10 @@ def test_keep_one(spark):
     want = {c for i, n, c in jaccard_components([(i, t) for i, t in rows if i is not None])}
     got = [r.doc_id for r in kept.collect()]
     assert set(got) == want and len(got) == len(want)
+
+
+def test_keep_one_of_null_and_repeated_ids(spark):
+    texts = ["a b c d e f g", "h i j k l m n", "o p q r s t u", "v w x y z 1 2"]
+    rows = [(None, t) for t in texts[:3]] + [(None, texts[0].upper()), (5, texts[3]), (5, "3 4 5 6 7 8"), (6, texts[3].upper())]
+    kept = ngramjoin.keep_one(docs_of(spark, [(i, t, "s") for i, t in rows])).collect()
+    assert sorted(((r.doc_id or 0), r.text.lower()) for r in kept) == [*[(0, t) for t in texts[:3]], (5, "3 4 5 6 7 8"), (5, texts[3])]
