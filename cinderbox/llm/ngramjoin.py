@@ -475,14 +475,18 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each component, that of the smallest id; documents with empty sets stay."""
     found = materialise(near_duplicates(docs), "components")
-    # rows that agree in id and text are told apart by nothing; one of them stays
-    chosen = found.where("n_shingles > 0").groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("m"), F.count(F.lit(1)).alias("c"))
-    chosen = chosen.select("m.doc_id", "m.row").unionByName(found.where("n_shingles = 0").select("doc_id", "row").distinct())
-    chosen = materialise(chosen.select(F.col("doc_id").alias("__d"), F.col("row").alias("__r")), "chosen")
-    kept = docs.withColumn("__row", F.xxhash64("text")).join(
-        chosen, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__row") == F.col("__r")), "left_semi").drop("__row")
-    again = found.groupBy("doc_id", "row").agg(F.count(F.lit(1)).alias("c"), F.max("n_shingles").alias("n")).where("c > 1 AND n > 0")
-    return kept if again.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
+    # rows that agree in id and text are told apart by nothing; one of them stays if they have shingles, else all do
+    rows = found.groupBy("doc_id", "row").agg(F.max("n_shingles").alias("n"), F.max("root").alias("root"), F.count(F.lit(1)).alias("c"))
+    chosen = rows.where("n > 0").groupBy("root").agg(F.min(F.struct("doc_id", "row", "c")).alias("m"))
+    chosen = chosen.select("m.*").unionByName(rows.where("n = 0").select("doc_id", "row", F.lit(1).cast("long").alias("c")))
+    chosen = materialise(chosen.select(F.col("doc_id").alias("__d"), F.col("row").alias("__r"), "c"), "chosen")
+
+    def kept(some: DataFrame) -> DataFrame:
+        return docs.withColumn("__row", F.xxhash64("text")).join(
+            some.drop("c"), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__row") == F.col("__r")), "left_semi").drop("__row")
+
+    again = chosen.where("c > 1")
+    return kept(chosen) if again.isEmpty() else kept(chosen.where("c = 1")).unionByName(kept(again).dropDuplicates(["doc_id", "text"]))
 
 
 def op3_ngram_jaccard(spark, sf_dir):

@@ -527,3 +527,10 @@ def test_keep_one_of_null_and_repeated_ids(spark):
     rows = [(None, t) for t in texts[:3]] + [(None, texts[0].upper()), (5, texts[3]), (5, "3 4 5 6 7 8"), (6, texts[3].upper())]
     kept = ngramjoin.keep_one(docs_of(spark, [(i, t, "s") for i, t in rows])).collect()
     assert sorted(((r.doc_id or 0), r.text.lower()) for r in kept) == [*[(0, t) for t in texts[:3]], (5, "3 4 5 6 7 8"), (5, texts[3])]
+
+
+def test_keep_one_treats_repeated_empty_rows_one_way(spark):
+    empty, some = [(1, "", "s"), (1, "", "s"), (2, None, "s"), (2, None, "s")], (3, "a b c d e f", "s")
+    for rows in (empty, [*empty, some], [*empty, some, some]):
+        got = sorted(r.doc_id for r in ngramjoin.keep_one(docs_of(spark, rows)).collect())
+        assert got == [1, 1, 2, 2, *[3] * (some in rows)]
