@@ -246,9 +246,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str = "quality", sa
         "doc_id", F.coalesce("text", F.lit("")).alias("text"), "label")
     found, chars = [], 0
     for r in sorted(rows.toLocalIterator(), key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.text)):
+        if chars + len(r.text) > SAMPLE_CHARS:
+            continue
         chars += len(r.text)
-        if chars > SAMPLE_CHARS:
-            break
         found.append((r.text, r.label))
     return found
 

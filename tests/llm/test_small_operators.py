@@ -215,6 +215,14 @@ def test_classifier_features_and_edges(spark):
     assert classifier.score_column(docs_of(spark, edge_rows()), model).count() == len(edge_rows())
 
 
+def test_training_sample_goes_on_after_a_text_that_does_not_fit(spark, monkeypatch):
+    ids = sorted((i for i in range(40) if zlib.crc32(str(i).encode()) % 4 != 2), key=lambda i: zlib.crc32(str(i).encode()))
+    docs = docs_of(spark, [(i, "x" * 200 if i == ids[0] else "y" * 10, "s") for i in ids]).select("doc_id", "text")
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, quality int")
+    monkeypatch.setattr(classifier, "SAMPLE_CHARS", 50)
+    assert classifier.training_rows(docs, labels) == [("y" * 10, i % 2) for i in ids[1:6]]
+
+
 def test_classifier_forgets_within_bounds(monkeypatch):
     model = classifier.fit(["a b", "c d"], [1, 0])
     texts = [f"w{i} v{i} a" for i in range(50)]
