@@ -3,18 +3,24 @@
 Sources in code point order (null last) weigh 3, 1, 2, repeating, and share
 150 % of all words; a source's target stops at twice its words and the excess
 is shared again by weight. With rate r = target / source words, every document
-gets floor(r) certain copies. The rest of the target is a fixed-size sample:
-documents are ranked by Pareto's variable, random odds u/(1-u) over inclusion
-odds f/(1-f) with f the fractional part of r, and taken in that order until
-their words fill it. One more document of the remaining ones, whose size is
-nearest to the gap, is taken if that brings the source nearer to its target.
+gets floor(r) certain copies. One copy more goes to a sample with unequal
+inclusion probabilities, in proportion to size: p = min(1, c size), with c such
+that the expected words of the sample are the rest of the target. A document
+with p = 1 gets its copy for certain. The others are ranked by Pareto's
+variable, random odds u/(1-u) over inclusion odds p/(1-p), and taken in that
+order. The size of the sample is fixed in words, the unit of the targets, not in
+documents: a document that no longer fits ends the first pass, a second pass
+takes those after it, in the same order, that fit what is still missing, and one
+more document, whose size is nearest to what is missing then, is taken if that
+brings the source nearer to its target.
 
 The random number is a hash of the document's id, so reruns agree.
 
 Defined cases: null text has size 0; a null source is a source of its own; an
 empty table gives an empty result; a source without words has target 0 and its
-documents are taken once (0 words); repeated rows are documents of their own;
-ids that tie are ordered by size.
+documents are taken once (0 words); documents without words in other sources
+get the certain copies only; repeated rows are documents of their own; ids that
+tie are ordered by size; very long texts count whole.
 """
 
 from __future__ import annotations
@@ -65,32 +71,82 @@ def source_targets(sizes: DataFrame, source: str = "source") -> DataFrame:
     return materialise(x.select("__source", "source_size", "__start", target.alias("target")), "targets")
 
 
+def inclusion(sizes: DataFrame, rests: DataFrame, source: str = "source") -> DataFrame:
+    """One row per source of ``rests`` (__source, __rest): the size from which documents are certain (null: none) and c.
+
+    In descending order of size a document is certain when c, fitted to it and
+    the smaller ones, would give it a probability of 1 or more: the certain ones
+    are the first. Documents of one size are one row of the table that is ordered.
+    """
+    x = sizes.where("size > 0").groupBy(F.col(source).alias("__s"), "size").agg(F.count(F.lit(1)).alias("__n"))
+    x = x.withColumn("__words", F.col("__n") * F.col("size")).withColumn("__squares", F.col("__words") * F.col("size"))
+    x = running_sums(x, [F.col("__s").asc_nulls_last(), F.col("size").desc()], {"__w": F.col("__words"), "__q": F.col("__squares")}, "bysize")
+    x = materialise(x, "ordered")
+    ends = materialise(x.groupBy(F.col("__s").alias("__e")).agg(
+        F.max("__q").alias("__qs"), (F.max("__w") - F.sum("__words")).alias("__before")), "ends")
+    x = x.join(ends, F.col("__s").eqNullSafe(F.col("__e"))).join(rests, F.col("__s").eqNullSafe(F.col("__source")))
+    # words of larger ones, squares of this size and the smaller ones
+    larger = F.col("__w") - F.col("__words") - F.col("__before")
+    tail = F.col("__qs") - F.col("__q") + F.col("__squares")
+    certain = (F.col("__rest") - larger.cast("double")) * F.col("size").cast("double") >= tail.cast("double")
+    x = x.withColumn("__certain", certain)
+    x = x.groupBy("__s").agg(F.min(F.when(F.col("__certain"), F.col("size"))).alias("__from"), F.first("__rest").alias("__rest"),
+                             F.coalesce(F.sum(F.when(F.col("__certain"), F.col("__words"))), F.lit(0)).alias("__sure"),
+                             F.sum(F.when(~F.col("__certain"), F.col("__squares"))).alias("__left"))
+    return materialise(x.select("__s", "__from", ((F.col("__rest") - F.col("__sure").cast("double")) / F.col("__left").cast("double")).alias("__c"),
+                                F.col("__sure")), "inclusion")
+
+
 def _sampled(sizes: DataFrame, source: str) -> DataFrame:
     """``sizes`` (doc_id, source, size, more) with source_size, target, copies and taken."""
-    targets = source_targets(sizes, source)
-    x = sizes.join(targets, sizes[source].eqNullSafe(targets["__source"]))
     some = F.col("source_size") > 0
     whole = F.when(some, F.least(F.lit(float(MOST)), F.floor(F.col("target") / F.col("source_size")).cast("double"))).otherwise(F.lit(0.0))
-    x = x.withColumn("__whole", whole).withColumn("__rest", F.col("target") - F.col("__whole") * F.col("source_size"))
-    f = F.when(some, F.col("__rest") / F.col("source_size")).otherwise(F.lit(0.0))
+    targets = source_targets(sizes, source).withColumn("__whole", whole).withColumn("__rest", F.col("target") - F.col("__whole") * F.col("source_size"))
+    targets = materialise(targets, "rests")
+    x = sizes.join(targets, sizes[source].eqNullSafe(targets["__source"]))
+    # one row a source, written: the joins with a hot source's rows then know that this side is small
+    chances = inclusion(sizes, targets.select("__source", "__rest"), source)
+    x = x.join(chances, F.col("__source").eqNullSafe(F.col("__s")), "left")
+    sure = F.coalesce((F.col("size") >= F.col("__from")) & (F.col("__rest") > 0), F.lit(False))
+    x = x.withColumn("__sure", F.coalesce("__sure", F.lit(0))).withColumn("__certain", sure)
+    p = F.least(F.lit(1.0), F.coalesce(F.col("__c"), F.lit(0.0)) * F.col("size").cast("double"))
     odds = lambda p: p / (1 - p)
     u = uniform(F.col("doc_id"))
-    x = x.withColumn("__q", F.when((f > 0) & (f < 1), odds(u) / odds(f)).otherwise(odds(u)))
-    order = [F.col(source).asc_nulls_last(), F.col("__q").asc(), F.col("doc_id").asc_nulls_first(), F.col("size").asc()]
-    x = running_sums(x, order, {"__cum": F.col("size")}, "ranked")
-    x = x.withColumn("__cum", F.col("__cum") - F.col("__start")).withColumn("__in", F.col("__cum") <= F.col("__rest"))
+    # certain ones are not ranked against the rest, and those without a chance come last
+    x = x.withColumn("__chance", p).withColumn("__open", ~F.col("__certain") & (F.col("__chance") > 0))
+    x = x.withColumn("__q", F.when(F.col("__open") & (F.col("__chance") < 1), odds(u) / odds(F.col("__chance"))).when(F.col("__open"), F.lit(0.0)).otherwise(odds(u)))
+    # what is missing when the certain ones are taken
+    x = x.withColumn("__need", F.col("__rest") - F.col("__sure").cast("double"))
+    tie = [F.col("__q").asc(), F.col("doc_id").asc_nulls_first(), F.col("size").asc()]
+    x = running_sums(x, [F.col(source).asc_nulls_last(), F.col("__open").desc(), *tie], {"__cum": F.col("size")}, "ranked")
+    # words of the sources before, and this one's documents come first if they have a chance
+    x = x.withColumn("__cum", F.col("__cum") - F.col("__start")).withColumn("__in", F.col("__open") & (F.col("__cum") <= F.col("__need")))
     x = materialise(x, "sampled")
-    # one row a source, written: the join with a hot source's rows then knows that this side is small
-    cut = materialise(x.groupBy(F.col("__source").alias("__c")).agg(
-        (F.first("__rest") - F.coalesce(F.max(F.when(F.col("__in"), F.col("__cum"))), F.lit(0))).alias("__gap")), "gaps")
-    left = x.where(~F.col("__in")).join(cut, F.col("__source").eqNullSafe(F.col("__c")))
-    extra = left.where(F.col("size") < 2 * F.col("__gap")).groupBy("__c").agg(
+
+    def missing(taken: DataFrame, need: str, cum: str, out: str) -> DataFrame:
+        got = F.coalesce(F.max(F.when(F.col("__in"), F.col(cum))), F.lit(0))
+        return materialise(taken.groupBy(F.col("__source").alias("__g")).agg((F.first(need) - got).alias(out)), "gaps")
+
+    gaps = missing(x, "__need", "__cum", "__gap")
+    second = x.where(F.col("__open") & ~F.col("__in")).join(gaps, F.col("__source").eqNullSafe(F.col("__g"))).where(F.col("size") <= F.col("__gap"))
+    second = running_sums(second.select("__source", "__gap", F.col("__rank").alias("__first"), "size", "__q"),
+                          [F.col("__source").asc_nulls_last(), F.col("__first").asc()], {"__sum": F.col("size")}, "second")
+    second = materialise(second, "fitting")
+    starts = materialise(second.groupBy(F.col("__source").alias("__o")).agg(F.min(F.col("__sum") - F.col("size")).alias("__begin")), "starts")
+    second = second.join(starts, F.col("__source").eqNullSafe(F.col("__o"))).withColumn("__sum", F.col("__sum") - F.col("__begin"))
+    second = materialise(second.withColumn("__in", F.col("__sum") <= F.col("__gap")), "second")
+    gaps = materialise(gaps.join(missing(second, "__gap", "__sum", "__gap2").withColumnRenamed("__g", "__g2"), F.col("__g").eqNullSafe(F.col("__g2")), "left")
+                       .select("__g", F.coalesce("__gap2", "__gap").alias("__gap")), "gaps")
+    taken = materialise(second.where("__in").select(F.col("__first").alias("__again")), "again")
+    x = x.join(taken, x["__rank"] == taken["__again"], "left").withColumn("__in", F.col("__in") | F.col("__again").isNotNull())
+    left = x.where(F.col("__open") & ~F.col("__in")).join(gaps, F.col("__source").eqNullSafe(F.col("__g")))
+    extra = left.where(F.col("size") < 2 * F.col("__gap")).groupBy("__g").agg(
         F.min(F.struct(F.abs(F.col("size") - F.col("__gap")).alias("d"), F.col("__rank").alias("r")))["r"].alias("__extra")).select("__extra")
     extra = materialise(extra, "extra")
     x = x.join(extra, x["__rank"] == extra["__extra"], "left")
-    copies = F.col("__whole").cast("long") + F.when(F.col("__in") & ((F.col("__rest") > 0) | ~some), 1).when(F.col("__extra").isNotNull(), 1).otherwise(0)
-    return x.withColumn("copies", copies.cast("long")).withColumn("taken", F.col("copies") * F.col("size")).drop(
-        "__source", "__start", "__whole", "__rest", "__q", "__rank", "__cum", "__in", "__extra")
+    once = F.col("__certain") | F.col("__in") | F.col("__extra").isNotNull() | ~some
+    copies = F.col("__whole").cast("long") + once.cast("long")
+    return x.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size")).select(*sizes.columns, "source_size", "target", "copies", "taken")
 
 
 def mix_plan(docs: DataFrame, text: str = "text", source: str = "source") -> DataFrame:
@@ -133,18 +189,31 @@ c AS (SELECT *, (3 * total - 4 * sat)::DOUBLE / (2 * wleft)::DOUBLE AS level FRO
 k AS (SELECT *, (2 * ss)::DOUBLE / w::DOUBLE <= level AS capped FROM c),
 f AS (SELECT min(rk) AS rk, arg_min(level, rk) AS level FROM k WHERE NOT capped),
 t AS (SELECT source, ss, CASE WHEN capped AND (f.rk IS NULL OR k.rk < f.rk) THEN (2 * ss)::DOUBLE ELSE w::DOUBLE * f.level END AS target FROM k, f),
-r AS (SELECT rid, doc_id, t.source, size, ss, target, CASE WHEN ss > 0 THEN least(2.0, floor(target / ss)) ELSE 0.0 END::DOUBLE AS whole,
+r AS (SELECT *, target - whole * ss AS rest FROM (SELECT *, CASE WHEN ss > 0 THEN least(2.0, floor(target / ss)) ELSE 0.0 END::DOUBLE AS whole FROM t)),
+b AS (SELECT source, size, count(*) * size AS words, count(*) * size * size AS squares FROM d WHERE size > 0 GROUP BY source, size),
+i AS (SELECT b.source, size, words, squares, rest,
+             (rest - coalesce(sum(words) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE) * size::DOUBLE
+               >= (sum(squares) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS certain
+      FROM b JOIN r ON b.source IS NOT DISTINCT FROM r.source WINDOW o AS (PARTITION BY b.source ORDER BY size DESC)),
+ch AS (SELECT source, min(CASE WHEN certain THEN size END) AS since, coalesce(sum(CASE WHEN certain THEN words END), 0)::DOUBLE AS sure,
+              (any_value(rest) - coalesce(sum(CASE WHEN certain THEN words END), 0)::DOUBLE) / (sum(CASE WHEN NOT certain THEN squares END))::DOUBLE AS c
+       FROM i GROUP BY source),
+g AS (SELECT rid, doc_id, d.source, size, ss, target, whole, rest - coalesce(sure, 0) AS need, coalesce(size >= since AND rest > 0, false) AS certain,
+             least(1.0::DOUBLE, coalesce(c, 0.0::DOUBLE) * size::DOUBLE) AS p,
              (('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-g AS (SELECT *, target - whole * ss AS rest, CASE WHEN ss > 0 THEN (target - whole * ss) / ss ELSE 0 END AS f FROM r),
-q AS (SELECT *, CASE WHEN f > 0 AND f < 1 THEN (u / (1 - u)) / (f / (1 - f)) ELSE u / (1 - u) END AS q FROM g),
-cu AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY q, doc_id NULLS FIRST, size, rid ROWS UNBOUNDED PRECEDING) AS cum,
-              row_number() OVER (ORDER BY source NULLS LAST, q, doc_id NULLS FIRST, size, rid) AS rk FROM q),
-gap AS (SELECT source, any_value(rest) - coalesce(max(CASE WHEN cum <= rest THEN cum END), 0) AS gap FROM cu GROUP BY source),
-ex AS (SELECT cu.source, arg_min(rk, (abs(size - gap), rk)) AS rk FROM cu JOIN gap ON cu.source IS NOT DISTINCT FROM gap.source
-       WHERE cum > rest AND size < 2 * gap GROUP BY cu.source),
-o AS (SELECT doc_id, size, ss, target,
-             whole::BIGINT + CASE WHEN cum <= rest AND (rest > 0 OR ss = 0) THEN 1 WHEN ex.rk IS NOT NULL THEN 1 ELSE 0 END AS copies
-      FROM cu LEFT JOIN ex ON cu.rk = ex.rk)
+      FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source LEFT JOIN ch ON d.source IS NOT DISTINCT FROM ch.source),
+q AS (SELECT *, NOT certain AND p > 0 AS open,
+             CASE WHEN NOT certain AND p > 0 AND p < 1 THEN (u / (1 - u)) / (p / (1 - p)) WHEN NOT certain AND p > 0 THEN 0 ELSE u / (1 - u) END AS q FROM g),
+cu AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST, open DESC, q, doc_id NULLS FIRST, size, rid) AS rk,
+              open AND sum(size) OVER (PARTITION BY source ORDER BY open DESC, q, doc_id NULLS FIRST, size, rid ROWS UNBOUNDED PRECEDING) <= need AS one FROM q),
+g1 AS (SELECT source, any_value(need) - coalesce(sum(CASE WHEN one THEN size END), 0) AS gap FROM cu GROUP BY source),
+s2 AS (SELECT rk, cu.source, size, gap, sum(size) OVER (PARTITION BY cu.source ORDER BY rk ROWS UNBOUNDED PRECEDING) <= gap AS two
+       FROM cu JOIN g1 ON cu.source IS NOT DISTINCT FROM g1.source WHERE open AND NOT one AND size <= gap),
+g2 AS (SELECT g1.source, gap - coalesce(got, 0) AS gap FROM g1 LEFT JOIN (SELECT source, sum(CASE WHEN two THEN size END) AS got FROM s2 GROUP BY source) z
+       ON g1.source IS NOT DISTINCT FROM z.source),
+lf AS (SELECT cu.*, one OR coalesce(two, false) AS chosen FROM cu LEFT JOIN (SELECT rk, two FROM s2) y ON cu.rk = y.rk),
+ex AS (SELECT lf.source, arg_min(rk, (abs(size - gap), rk)) AS rk FROM lf JOIN g2 ON lf.source IS NOT DISTINCT FROM g2.source
+       WHERE open AND NOT chosen AND size < 2 * gap GROUP BY lf.source),
+o AS (SELECT doc_id, size, ss, target, whole::BIGINT + (certain OR chosen OR ex.rk IS NOT NULL OR ss = 0)::BIGINT AS copies FROM lf LEFT JOIN ex ON lf.rk = ex.rk)
 SELECT doc_id, size, ss AS source_size, target, (copies * size)::BIGINT AS taken, copies::BIGINT AS copies FROM o
 """
