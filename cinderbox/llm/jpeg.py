@@ -19,6 +19,7 @@ columns pass by, except those named like a result. Bytes that are no baseline JP
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 import struct
@@ -129,6 +130,16 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     return out
 
 
+@functools.lru_cache(64)
+def code_table(codes: tuple[tuple[tuple[int, int], int], ...]) -> list[int]:
+    """For 16 bits ahead: length of the code that they begin with << 8 | its symbol, or 0 for none."""
+    out = [0] * (1 << 16)
+    for (length, code), symbol in codes:
+        first = code << (16 - length)
+        out[first:first + (1 << (16 - length))] = [length << 8 | symbol] * (1 << (16 - length))
+    return out
+
+
 class Image:
     """What the markers of one baseline image say, and its restart intervals."""
 
@@ -216,32 +227,42 @@ class Image:
         return out
 
     def slow(self, interval: bytes, blocks: int) -> tuple[list[int], int]:
-        """DC coefficients of luminance in ``blocks`` units of one interval, bit by bit."""
-        bits, n, pos = int.from_bytes(interval, "big"), len(interval) * 8, 0
+        """DC coefficients of luminance in ``blocks`` units of one interval, symbol by symbol.
+
+        Each step reads the four bytes at its place, so time is in proportion to the interval.
+        """
+        n, pos = len(interval) * 8, 0
+        data = interval + bytes(8)
+        kinds = {(kind, ident): code_table(tuple(sorted(found.items()))) for (kind, ident), found in self.tables.items()}
+
+        def ahead() -> int:
+            at = pos >> 3
+            return int.from_bytes(data[at:at + 4], "big") << (pos & 7) & 0xFFFFFFFF
 
-        def take(k: int) -> int:
+        def forward(k: int) -> None:
             nonlocal pos
             pos += k
             if pos > n:
                 raise ValueError("the scan ends early")
-            return bits >> (n - pos) & ((1 << k) - 1)
 
-        def symbol(found: dict[tuple[int, int], int]) -> int:
-            code = 0
-            for length in range(1, 17):
-                code = code << 1 | take(1)
-                if (length, code) in found:
-                    return found[length, code]
-            raise ValueError("no such code")
+        def symbol(found: list[int]) -> int:
+            got = found[ahead() >> 16]
+            if not got:
+                raise ValueError("no such code")
+            forward(got >> 8)
+            return got & 255
 
         def number(cat: int) -> int:
-            value = take(cat) if cat else 0
-            return value if not cat or value >> (cat - 1) else value - (1 << cat) + 1
+            if not cat:
+                return 0
+            value = ahead() >> (32 - cat)
+            forward(cat)
+            return value if value >> (cat - 1) else value - (1 << cat) + 1
 
         before, out = dict.fromkeys(self.scan, 0), []
         for _ in range(blocks):
             for k, (ident, h, v, _q) in enumerate(self.components):
-                dc, ac = (self.tables[kind, self.scan[ident][kind]] for kind in (0, 1))
+                dc, ac = (kinds[kind, self.scan[ident][kind]] for kind in (0, 1))
                 for _ in range(1 if self.grey() else h * v):
                     before[ident] += number(symbol(dc))
                     if k == 0:
@@ -253,11 +274,11 @@ class Image:
                             break
                         at += (run >> 4) + 1
                         if run & 15:
-                            take(run & 15)
+                            forward(run & 15)
         return out, pos
 
     def whole(self) -> np.ndarray:
-        """The thumbnail, bit by bit."""
+        """The thumbnail, symbol by symbol."""
         units, each = self.across * self.down, self.restart or self.across * self.down
         found = [self.slow(x, min(each, units - i * each))[0] for i, x in enumerate(self.intervals) if i * each < units]
         dc = np.array([y for x in found for y in x])
