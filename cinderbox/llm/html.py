@@ -13,8 +13,9 @@ learned from. Training takes a few seconds on the driver, once a process, and
 the weights (a fixed size) go to the workers as a broadcast.
 
 Tokenising follows the HTML standard where it matters to text: comments, raw
-text of scripts and styles, quoted attributes, implied end tags, and a tag that
-the page's end cuts off is not text.
+text of scripts and styles, attributes (a quote begins a value only after an
+equals sign), implied end tags, and a tag that the page's end cuts off is not
+text. It takes time in proportion to the page, however deep its tags are nested.
 
 Defined cases: null, empty and textless pages give an empty text; pages of any
 length are read whole; repeated rows give equal texts; other columns pass by, except those
@@ -23,6 +24,7 @@ named like a result.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import html as entities
 import random
@@ -39,7 +41,7 @@ from .common import table
 
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span"
+INLINE = frozenset("a abbr acronym b bdi bdo big br button cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp small span"
                    " strike strong sub sup time tt u var wbr".split())
 RAW_TEXT = frozenset("script style xmp iframe noembed noframes".split())
 PLAIN_TEXT = frozenset("title textarea".split())
@@ -50,7 +52,8 @@ IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "t
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"},
           "tbody": {"table"}, "tfoot": {"table"}}
 
-_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
+#: A tag: its attributes are names, each with a value in quotes or without, or without a value.
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+|(?=>)))?+)*+)>""")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>")
 _NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
@@ -58,28 +61,74 @@ _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW_TEXT | PLAIN_T
 
 PATH_BUCKETS, WORD_BUCKETS, NUMBERS = 512, 64, 3
 HIDDEN = 16
-#: Of a deeper path the outermost and innermost levels count, as features only.
-PATH_ENDS = 24
 
 
 @dataclass
 class Block:
-    path: tuple[str, ...]
+    path: int  # a bit for each bucket of the features of the open tags
     text: str
     links: int  # characters inside links
 
 
 @functools.lru_cache(100_000)
-def _level(name: str, attrs: str) -> tuple[str, ...]:
-    """Features of one open tag: its name, and the words of its class, id and role."""
-    found = [w for groups in _NAMES.findall(attrs) for w in _WORD.findall("".join(groups).lower())]
-    return (f"<{name}>", *dict.fromkeys(found))
+def _level(name: str, attrs: str) -> int:
+    """Buckets of the features of one open tag: its name, and the words of its class, id and role."""
+    out = 1 << zlib.crc32(f"<{name}>".encode()) % PATH_BUCKETS
+    for groups in _NAMES.findall(attrs):
+        for w in _WORD.findall("".join(groups).lower()):
+            out |= 1 << zlib.crc32(w.encode()) % PATH_BUCKETS
+    return out
+
+
+class _Open:
+    """The open tags, with what finds one of them without a look at all: their places by name, and those that are not inline."""
+
+    def __init__(self):
+        self.names: list[str] = []
+        self.paths = [0]  # features of all levels up to each
+        self.at: dict[str, list[int]] = {}
+        self.solid: list[int] = []
+
+    def push(self, name: str, attrs: str) -> None:
+        k = len(self.names)
+        self.names.append(name)
+        self.paths.append(self.paths[-1] | _level(name, attrs))
+        self.at.setdefault(name, []).append(k)
+        if name not in INLINE:
+            self.solid.append(k)
+
+    def pop(self) -> str:
+        name = self.names.pop()
+        self.paths.pop()
+        self.at[name].pop()
+        if name not in INLINE:
+            self.solid.pop()
+        return name
+
+    def last(self, name: str) -> int:
+        """The place of the innermost tag of this name, or -1."""
+        own = self.at.get(name)
+        return own[-1] if own else -1
+
+    def ended_by(self, name: str) -> int:
+        """The place of the outermost tag that an opening tag ends by implication, or -1."""
+        found = -1
+        if name in ENDS_P and self.solid and self.names[self.solid[-1]] == "p":
+            found = self.solid[-1]
+        if name in IMPLIED:
+            scope = max(map(self.last, SCOPES[name]))
+            for other in IMPLIED[name]:
+                own = self.at.get(other, ())
+                k = bisect.bisect_right(own, scope)
+                if k < len(own) and (found < 0 or own[k] < found):
+                    found = own[k]
+        return found
 
 
 def blocks(page: str) -> list[Block]:
     """The leaf blocks with text, in page order."""
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []
+    stack = _Open()
     pieces: list[str] = []
     linked, in_link = 0, 0
 
@@ -89,8 +138,7 @@ def blocks(page: str) -> list[Block]:
             text = " ".join("".join(pieces).split())
             pieces.clear()
             if text:
-                levels = stack if len(stack) <= 2 * PATH_ENDS else stack[:PATH_ENDS] + stack[-PATH_ENDS:]
-                out.append(Block(tuple(f for name, attrs in levels for f in _level(name, attrs)), text, linked))
+                out.append(Block(stack.paths[-1], text, linked))
             linked = 0
 
     def add(raw: str) -> None:
@@ -102,10 +150,10 @@ def blocks(page: str) -> list[Block]:
 
     def pop_to(k: int) -> None:
         nonlocal in_link
-        if any(name not in INLINE for name, _ in stack[k:]):
+        if stack.solid and stack.solid[-1] >= k:
             flush()
-        in_link -= sum(name == "a" for name, _ in stack[k:])
-        del stack[k:]
+        while len(stack.names) > k:
+            in_link -= stack.pop() == "a"
 
     at, n = 0, len(page)
     while at < n:
@@ -138,26 +186,14 @@ def blocks(page: str) -> list[Block]:
         at = tag.end()
         name = tag[2].lower()
         if tag[1]:
-            if name == "p" and not any(x == "p" for x, _ in stack) or name == "br":
+            k = stack.last(name)
+            if name == "br" or name == "p" and k < 0:
                 flush()
-                continue
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
-            if k is not None:
+            elif k >= 0:
                 pop_to(k)
             continue
-        if name in ENDS_P:
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "p"), None)
-            if k is not None and all(x in INLINE for x, _ in stack[k + 1:]):
-                pop_to(k)
-        if name in IMPLIED:
-            k = len(stack)
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in IMPLIED[name]:
-                    k = i
-                elif stack[i][0] in SCOPES[name]:
-                    break
-            if k < len(stack):
-                pop_to(k)
+        if (k := stack.ended_by(name)) >= 0:
+            pop_to(k)
         if name not in INLINE:
             flush()
         if name == "br":
@@ -168,7 +204,7 @@ def blocks(page: str) -> list[Block]:
             end = _RAW_END[name].search(page, at)
             inner = page[at:end.start() if end else n]
             if name in PLAIN_TEXT:
-                stack.append((name, tag[3]))
+                stack.push(name, tag[3])
                 add(inner)
                 flush()
                 stack.pop()
@@ -176,7 +212,7 @@ def blocks(page: str) -> list[Block]:
             at = n if close < 0 else close + 1
             continue
         if not tag[3].endswith("/") or name not in ("svg", "path"):
-            stack.append((name, tag[3]))
+            stack.push(name, tag[3])
             in_link += name == "a"
     flush()
     return out
@@ -190,8 +226,8 @@ def _word_bucket(word: str) -> int:
 
 
 @functools.lru_cache(100_000)
-def _path_buckets(path: tuple[str, ...]) -> tuple[int, ...]:
-    return tuple(sorted({zlib.crc32(f.encode()) % PATH_BUCKETS for f in path}))
+def _path_buckets(path: int) -> tuple[int, ...]:
+    return tuple(k for k in range(PATH_BUCKETS) if path >> k & 1)
 
 
 def word_features(found: list[Block]) -> np.ndarray:
