@@ -5,14 +5,19 @@ archives are parsed by the field list that their version block declares and by
 the lengths that records declare, and each record becomes a WARC record with an
 identifier, timestamp, type and digest made from what the ARC record holds.
 Archives are lists of gzip members, one a record, kept as a binary column in the
-shared folder, as only Spark's writers reach a cluster's store.
+shared folder, as only Spark's writers reach a cluster's store. ARC files are
+read from any store (``read_arc_files``, plain or gzip), and WARC files written
+to any (``write_warc_files``, one gzip stream a task) and read back
+(``read_warc_files``, members or one stream).
 
-Identifiers are version 8 UUIDs of page id and payload digest: equal input gives
-equal archives, and a revisit's ``WARC-Refers-To`` names its page.
+Identifiers are version 8 UUIDs of page id, payload digest and, where a page id
+is repeated, the number of the row: equal input gives equal archives, no two
+records share an identifier, and a revisit's ``WARC-Refers-To`` names its page.
 
 Defined cases: null html is an empty payload; a null url becomes ``urn:page``;
 white space in urls is percent-encoded; null page ids are never the smallest; of
-rows that repeat the smallest id of a payload all are responses; an empty table
+rows that repeat the smallest id of a payload all are responses; a page longer
+than ARCHIVE_BYTES is whole, in an archive that ends with it; an empty table
 gives an empty result; other columns are ignored. Archives that break off or
 lie about lengths or digests raise ``ValueError``.
 """
@@ -27,10 +32,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import batch_rows, materialise, table
 
 #: Shorter payloads are never revisited (the contract's value).
 LEAST_PAYLOAD = 100
@@ -41,8 +46,12 @@ ARC_FIELDS = {
 }
 #: ARC bytes that one archive may reach before the next begins.
 ARCHIVE_BYTES = 4 << 20
+#: Parts in which rows of one page id are numbered.
+PARTS = 256
 #: Pages carry no capture time; the archives say this one unless told otherwise.
 CAPTURED = "20000101000000"
+#: Header names, which may be written in any case, as used here.
+_FIELDS = {x.lower(): x for x in ("WARC-Type", "WARC-Record-ID", "WARC-Date", "WARC-Target-URI", "WARC-Payload-Digest", "WARC-Refers-To", "Content-Length")}
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 
 
@@ -112,9 +121,10 @@ def read_arc(data: bytes) -> Iterator[ArcRecord]:
         first = False
 
 
-def record_id(page_id: int | None, digest: str) -> str:
-    """A custom (version 8) UUID: whether there is an id, the id, and 57 bits of the digest."""
-    bits = (page_id is not None) << 121 | ((page_id or 0) & (1 << 64) - 1) << 57 | int(digest[:15], 16) >> 3
+def record_id(page_id: int | None, digest: str, copy: int = 0) -> str:
+    """A custom (version 8) UUID: whether there is an id, the id, and 57 bits of the digest, or of it and the row's number."""
+    name = hashlib.sha256(f"{digest}:{copy}".encode()).hexdigest() if copy else digest
+    bits = (page_id is not None) << 121 | ((page_id or 0) & (1 << 64) - 1) << 57 | int(name[:15], 16) >> 3
     x = bits >> 74 << 80 | 8 << 76 | (bits >> 62 & 0xFFF) << 64 | 2 << 62 | bits & (1 << 62) - 1
     return f"<urn:uuid:{uuid.UUID(int=x)}>"
 
@@ -129,8 +139,8 @@ def page_of(ident: str) -> int | None:
     return page - (1 << 64) if page >> 63 else page
 
 
-def to_warc(r: ArcRecord, page_id: int | None, revisit: tuple[int, str] | None = None) -> bytes:
-    """The WARC record of an ARC record; ``revisit``: page and url of the response that it repeats."""
+def to_warc(r: ArcRecord, page_id: int | None, revisit: tuple[int, str, int] | None = None, copy: int = 0) -> bytes:
+    """The WARC record of an ARC record; ``revisit``: page, url and number of the response that it repeats."""
     split = r.content.find(b"\r\n\r\n") + 4 if r.content.startswith(b"HTTP/") else 0
     if split == 3:
         raise ValueError("HTTP headers without end")
@@ -138,12 +148,12 @@ def to_warc(r: ArcRecord, page_id: int | None, revisit: tuple[int, str] | None =
     block = r.content[:split] if revisit else r.content
     d = r.date
     head = [
-        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(page_id, digest)}",
+        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(page_id, digest, copy)}",
         f"WARC-Date: {d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z", f"WARC-Target-URI: {r.url}", f"WARC-IP-Address: {r.ip}",
         f"WARC-Payload-Digest: sha256:{digest}", f"Content-Type: {'application/http; msgtype=response' if split else r.kind}",
         f"Content-Length: {len(block)}"]
     if revisit:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(revisit[0], digest)}", f"WARC-Refers-To-Target-URI: {revisit[1]}"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(revisit[0], digest, revisit[2])}", f"WARC-Refers-To-Target-URI: {revisit[1]}"]
     return b"".join(["\r\n".join([*head, "", ""]).encode(), block, b"\r\n\r\n"])
 
 
@@ -153,64 +163,97 @@ def member(record: bytes) -> bytes:
     return c.compress(record) + c.flush()
 
 
-def members(archive: bytes) -> Iterator[bytes]:
-    view = memoryview(archive)
-    while len(view):
-        c = zlib.decompressobj(31)
-        out = c.decompress(view)
+def members(archive: bytes, step: int = 1 << 16) -> Iterator[bytes]:
+    """What the gzip members hold; read in steps, so what follows a member is not copied with it."""
+    view, at = memoryview(archive), 0
+    while at < len(view):
+        c, out = zlib.decompressobj(31), []
+        while not c.eof and at < len(view):
+            part = view[at:at + step]
+            out.append(c.decompress(part))
+            at += len(part) - len(c.unused_data)
         if not c.eof:
             raise ValueError("an archive breaks off")
-        view = view[len(view) - len(c.unused_data):]
-        yield out
+        yield b"".join(out)
 
 
-def read_warc(record: bytes) -> tuple[dict[str, str], bytes, bytes]:
-    """Headers, HTTP headers and payload of one record, checked against its length and digest."""
-    end = record.find(b"\r\n\r\n")
-    if not record.startswith(b"WARC/1.") or end < 0:
+def read_warc(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, bytes, int]:
+    """Headers, HTTP headers and payload of the record that begins here, checked against its length and digest, and where it ends."""
+    end = data.find(b"\r\n\r\n", at)
+    if not data.startswith(b"WARC/1.", at) or end < 0:
         raise ValueError("no WARC record")
-    head = dict(x.split(": ", 1) for x in record[:end].decode().split("\r\n")[1:])
-    block = record[end + 4:end + 4 + int(head["Content-Length"])]
-    if record[end + 4 + len(block):] != b"\r\n\r\n" or len(block) != int(head["Content-Length"]):
+    head = {}
+    for line in re.sub(r"\r\n[ \t]+", " ", data[at:end].decode()).split("\r\n")[1:]:
+        name, _, value = line.partition(":")
+        head[_FIELDS.get(name.lower(), name)] = value.strip()
+    after = end + 4 + int(head["Content-Length"])
+    block = data[end + 4:after]
+    if data[after:after + 4] != b"\r\n\r\n" or after > len(data):
         raise ValueError("a WARC record's length is wrong")
     split = block.find(b"\r\n\r\n") + 4 if block.startswith(b"HTTP/") else 0
     payload = block[split:]
-    if head["WARC-Type"] == "response" and head["WARC-Payload-Digest"] != f"sha256:{hashlib.sha256(payload).hexdigest()}":
+    declared = head.get("WARC-Payload-Digest", "")
+    if head["WARC-Type"] == "response" and declared.startswith("sha256:") and declared[7:] != hashlib.sha256(payload).hexdigest():
         raise ValueError("a payload does not have its digest")
-    return head, block[:split], payload
+    return head, block[:split], payload, after + 4
+
+
+def warc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes, bytes]]:
+    """All records that stand one after the other."""
+    at = 0
+    while at < len(data):
+        head, http, payload, at = read_warc(data, at)
+        yield head, http, payload
+
+
+def numbered(pages: DataFrame) -> DataFrame:
+    """page_id, url, html and ``copy``, which tells rows of one page id apart; 0 where the id is not repeated.
+
+    Rows of repeated ids are numbered in parts, so that an id that very many rows share, as null may be, is not one task's.
+    """
+    pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
+    again = materialise(pages.groupBy("page_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("page_id").alias("__again")), "again")
+    if again.isEmpty():
+        return pages.withColumn("copy", F.lit(0).cast("long"))
+    same = F.col("page_id").eqNullSafe(F.col("__again"))
+    part = F.pmod(F.xxhash64("url", "html"), F.lit(PARTS))
+    rows = pages.join(again, same, "left_semi").withColumn("__part", part)
+    nth = F.row_number().over(Window.partitionBy("page_id", "__part").orderBy("url", F.xxhash64("html")))
+    return pages.join(again, same, "left_anti").withColumn("copy", F.lit(0).cast("long")).unionByName(
+        rows.withColumn("copy", (nth.cast("long") - 1) * PARTS + F.col("__part")).drop("__part"))
 
 
 def first_responses(pages: DataFrame) -> DataFrame:
-    """For each payload of LEAST_PAYLOAD bytes or more that occurs again: __digest, __page and __url of its response."""
-    x = pages.where(F.octet_length(F.coalesce("html", F.lit(""))) >= LEAST_PAYLOAD).select(
-        F.sha2(F.encode("html", "UTF-8"), 256).alias("__digest"), "page_id", "url")
-    least = F.min(F.struct(F.col("page_id").isNull().alias("none"), F.col("page_id"), F.col("url")))
+    """For each payload of LEAST_PAYLOAD bytes or more that occurs again: __digest, __page, __url and __copy of its response."""
+    x = pages.where(F.octet_length("html") >= LEAST_PAYLOAD).select(F.sha2(F.encode("html", "UTF-8"), 256).alias("__digest"), "page_id", "url", "copy")
+    least = F.min(F.struct(F.col("page_id").isNull().alias("none"), F.col("page_id"), F.col("url"), F.col("copy")))
     return x.groupBy("__digest").agg(least.alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1 AND m.page_id IS NOT NULL").select(
-        "__digest", F.col("m.page_id").alias("__page"), F.col("m.url").alias("__url"))
+        "__digest", F.col("m.page_id").alias("__page"), F.col("m.url").alias("__url"), F.col("m.copy").alias("__copy"))
 
 
 def archives(pages: DataFrame, captured: str = CAPTURED) -> DataFrame:
     """Archive rows (name, archive) with a WARC record for each page, by way of ARC."""
     # written, so that the join knows its size: broadcast below Spark's threshold, else shuffled with skew handling
-    firsts = materialise(first_responses(pages), "responses")
-    x = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn(
-        "__key", F.when(F.octet_length("html") >= LEAST_PAYLOAD, F.sha2(F.encode("html", "UTF-8"), 256)))
-    x = x.join(firsts, F.col("__key") == F.col("__digest"), "left").select("page_id", "url", F.encode("html", "UTF-8").alias("html"), "__page", "__url")
+    x = numbered(pages)
+    firsts = materialise(first_responses(x), "responses")
+    x = x.withColumn("__key", F.when(F.octet_length("html") >= LEAST_PAYLOAD, F.sha2(F.encode("html", "UTF-8"), 256)))
+    x = x.join(firsts, F.col("__key") == F.col("__digest"), "left").select(
+        "page_id", "url", F.encode("html", "UTF-8").alias("html"), "copy", "__page", "__url", "__copy")
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[ArcRecord, int | None, tuple[int, str] | None]] = []
+        held: list[tuple[ArcRecord, int | None, tuple[int, str, int] | None, int]] = []
         size, n = 0, 0
 
         def flush() -> pa.RecordBatch:
-            arc = write_arc(f"part-{n}.arc", [r for r, _, _ in held], 1 + n % 2)
-            warc = b"".join(member(to_warc(r, page, revisit)) for r, (_, page, revisit) in zip(read_arc(arc), held, strict=True))
+            arc = write_arc(f"part-{n}.arc", [r for r, *_ in held], 1 + n % 2)
+            warc = b"".join(member(to_warc(r, page, revisit, copy)) for r, (_, page, revisit, copy) in zip(read_arc(arc), held, strict=True))
             return pa.RecordBatch.from_arrays([pa.array([f"part-{n}.warc.gz"]), pa.array([warc], pa.binary())], names=["name", "archive"])
 
         for b in batches:
-            for page, url, html, first, first_url in zip(*((x.as_py() for x in c) for c in b.columns), strict=True):
+            for page, url, html, copy, first, first_url, first_copy in zip(*((x.as_py() for x in c) for c in b.columns), strict=True):
                 head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(html)}\r\n\r\n".encode()
-                revisit = None if first is None or first == page else (first, clean_url(first_url))
-                held.append((ArcRecord(clean_url(url), "0.0.0.0", captured, "text/html", head + html), page, revisit))
+                revisit = None if first is None or first == page else (first, clean_url(first_url), first_copy)
+                held.append((ArcRecord(clean_url(url), "0.0.0.0", captured, "text/html", head + html), page, revisit, copy))
                 size += len(html)
                 if size >= ARCHIVE_BYTES:
                     yield flush()
@@ -221,26 +264,96 @@ def archives(pages: DataFrame, captured: str = CAPTURED) -> DataFrame:
     return x.mapInArrow(written, "name string, archive binary")
 
 
+#: Columns of a record that is read.
+RECORD = "page_id bigint, url string, record_id string, record_type string, payload_bytes bigint, payload_digest string, refers_to bigint, date string, payload binary"
+
+
+def _uuid_page(ident: str | None) -> int | None:
+    """The page inside an identifier that is ours."""
+    if not ident or "urn:uuid:" not in ident or uuid.UUID(ident.strip("<> ").split("urn:uuid:")[1]).version != 8:
+        return None
+    return page_of(ident.split("urn:uuid:")[1])
+
+
 def records(stored: DataFrame, payloads: bool = True) -> DataFrame:
     """One row for each record of archive rows: headers as columns and, if asked for, the payload of responses."""
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary()]
+    names = [c.split(" ")[0] for c in RECORD.split(", ")]
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
         for b in batches:
-            for archive in b.column(0).to_pylist():
-                rows = []
-                for record in members(archive):
-                    head, http, payload = read_warc(record)
-                    length = re.search(rb"(?i)\r\nContent-Length: *(\d+)", http)
-                    refers = head.get("WARC-Refers-To")
-                    rows.append((page_of(head["WARC-Record-ID"].split("urn:uuid:")[1]), head["WARC-Target-URI"], head["WARC-Type"],
-                                 len(payload) if head["WARC-Type"] == "response" else int(length[1]), head["WARC-Payload-Digest"].split(":")[1],
-                                 page_of(refers.split("urn:uuid:")[1]) if refers else None, head["WARC-Date"], payload if payloads else None))
+            for archive in (x.as_py() for x in b.column(0)):
+                rows, size = [], 0
+                for data in members(archive) if archive.startswith(b"\x1f\x8b") else [archive]:
+                    for head, http, payload in warc_records(data):
+                        if head["WARC-Type"] not in ("response", "revisit"):
+                            continue
+                        length = re.search(rb"(?i)\r\nContent-Length: *(\d+)", http)
+                        whole = len(payload) if head["WARC-Type"] == "response" else int(length[1]) if length else None
+                        rows.append((_uuid_page(head["WARC-Record-ID"]), head.get("WARC-Target-URI"), head["WARC-Record-ID"], head["WARC-Type"], whole,
+                                     head.get("WARC-Payload-Digest", "").split(":")[-1], _uuid_page(head.get("WARC-Refers-To")), head["WARC-Date"], payload if payloads else None))
+                        size += len(payload)
+                        if size >= ARCHIVE_BYTES:
+                            yield batch(rows)
+                            rows, size = [], 0
                 if rows:
-                    cols = list(zip(*rows, strict=True))
-                    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)],
-                                                     names=["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "date", "payload"])
+                    yield batch(rows)
+
+    return stored.select("archive").mapInArrow(read, RECORD)
+
+
+# ---------------------------------------------------------------- files
+
+def read_arc_files(spark, path: str) -> DataFrame:
+    """The records of ARC files, plain or gzip: file, url, ip, date, kind, content. A file lies in one task's memory."""
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["file", "url", "ip", "date", "kind", "content"]
+        for b in batches:
+            for file, content in zip(*((x.as_py() for x in c) for c in b.columns), strict=True):
+                data = b"".join(members(content)) if content.startswith(b"\x1f\x8b") else content
+                for r in read_arc(data):
+                    yield pa.RecordBatch.from_arrays([*(pa.array([x], pa.string()) for x in (file, r.url, r.ip, r.date, r.kind)), pa.array([r.content], pa.binary())], names=names)
+
+    with batch_rows(spark, 1):
+        files = spark.read.format("binaryFile").load(path).select("path", "content")
+        return files.mapInArrow(read, "file string, url string, ip string, date string, kind string, content binary")
+
+
+def arc_to_warc(arcs: DataFrame) -> DataFrame:
+    """A column ``record`` with the WARC record of each row of ``read_arc_files``; identifiers are of url, date and payload."""
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for r in (ArcRecord(*x) for x in zip(*((v.as_py() for v in c) for c in b.columns), strict=True)):
+                named = int.from_bytes(hashlib.sha256(f"{r.url} {r.date}".encode()).digest()[:8], "big", signed=True)
+                out.append(to_warc(ArcRecord(clean_url(r.url), r.ip, r.date, r.kind, r.content), named))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
+
+    return arcs.select("url", "ip", "date", "kind", "content").mapInArrow(of, "record binary")
+
+
+def write_warc_files(stored: DataFrame, path: str, column: str = "record") -> None:
+    """WARC files (part-*.txt.gz) of records, or of archive rows (``column`` "archive"), in any store that Spark writes to.
+
+    The text writer puts the records' end, two line ends, between them and compresses each file as one stream.
+    """
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x in (v.as_py() for v in b.column(0)):
+                for record in members(x) if x.startswith(b"\x1f\x8b") else [x]:
+                    yield pa.RecordBatch.from_arrays([pa.array([record.removesuffix(b"\r\n\r\n")], pa.binary())], names=["value"])
+
+    lines = stored.select(column).mapInArrow(of, "value binary").select(F.col("value").cast("string").alias("value"))
+    lines.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+
 
-    return stored.select("archive").mapInArrow(read, "page_id bigint, url string, record_type string, payload_bytes bigint, payload_digest string, refers_to bigint, date string, payload binary")
+def read_warc_files(spark, path: str, payloads: bool = True) -> DataFrame:
+    """The responses and revisits of WARC files, gzip or plain. A file lies in one task's memory."""
+    with batch_rows(spark, 1):
+        return records(spark.read.format("binaryFile").load(path).select(F.col("content").alias("archive")), payloads)
 
 
 def op10_warc(spark, sf_dir):
