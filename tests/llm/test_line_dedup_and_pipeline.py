@@ -1,31 +1,23 @@
 """Line dedup and the pipeline against plain versions.
 
-The plain line dedup uses the same word hashes, as they define the SimHash, and
-compares all pairs of lines.
+The plain line dedup compares all pairs of lines by edit distance over words and
+knows nothing of SimHashes.
 """
 
 import random
 from collections import Counter
 
 import pytest
-import xxhash
+import regex
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cinderbox.llm import linededup, mixing, quality
-from cinderbox.llm.common import table
+from cinderbox.llm.common import materialise, table
 from test_small_operators import DOCS, docs_of, edge_rows, jaccard_components
 
-
-def h64(text, seed=42):
-    v = xxhash.xxh64_intdigest(text.encode(), seed=seed)
-    return v - (1 << 64) if v >> 63 else v
-
-
-def simhash(line):
-    words = list(dict.fromkeys(line.split(" ")))
-    hashes = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in words]
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(words))
+UNSPACED = regex.compile(r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])")
+WORDS = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 
 
 def edits(a, b):
@@ -38,17 +30,18 @@ def edits(a, b):
     return row[-1]
 
 
+def words_of(line):
+    return tuple(WORDS.findall(UNSPACED.sub(r" \1 ", line.lower())))
+
+
 def plain_dedup(rows):
     """Texts by (doc_id, text) after dedup; doc ids must be different for different rows."""
-    norm = lambda x: x.strip(" ").lower()
     found = {}
     for i, t in rows:
         for pos, x in enumerate((t or "").split("\n")):
-            n = norm(x)
-            if len(set(n.split(" "))) >= linededup.MIN_WORDS:
+            if n := words_of(x):
                 found.setdefault(n, []).append((i, pos))
     lines = sorted(found)
-    sims = {x: simhash(x) for x in lines}
     root = {x: x for x in lines}
 
     def find(x):
@@ -56,12 +49,11 @@ def plain_dedup(rows):
             x = root[x]
         return x
 
-    for k, a in enumerate(lines):
-        for b in lines[:k]:
-            if bin(sims[a] ^ sims[b]).count("1") <= linededup.DISTANCE:
-                x, y = a.split(" "), b.split(" ")
-                if edits(x, y) <= (1 - linededup.SIMILARITY) * max(len(x), len(y)) + 1e-9:
-                    root[find(a)] = find(b)
+    long = [x for x in lines if len(x) >= linededup.MIN_WORDS]
+    for k, a in enumerate(long):
+        for b in long[:k]:
+            if abs(len(a) - len(b)) <= 1 and edits(a, b) <= 1:
+                root[find(a)] = find(b)
     keep = {}
     for x in lines:
         keep[find(x)] = min(keep.get(find(x), found[x][0]), min(found[x]))
@@ -85,22 +77,40 @@ def like_lines():
     return [*rows, (100, None), (101, ""), (102, rows[0][1]), (103, "\n\n"), (104, "É à ü ß one two\né À Ü ß ONE two")]
 
 
-def test_spark_hashes_words_as_the_plain_version(spark):
-    got = spark.createDataFrame([("abc",), ("é",)], "w string").select(F.xxhash64("w").alias("h")).collect()
-    assert [r.h for r in got] == [h64("abc"), h64("é")]
+def same_texts(got, rows):
+    want = plain_dedup(rows)
+    assert {r.doc_id: r.text if r.text is None or r.lines_out else "" for r in got} == want
 
 
-def test_line_dedup_against_all_pairs(spark):
+@pytest.mark.parametrize("few", [8, 1])
+def test_line_dedup_against_all_pairs(spark, monkeypatch, few):
+    monkeypatch.setattr(linededup, "FEW", few)
     rows = like_lines()
-    df = docs_of(spark, [(i, t, "s") for i, t in rows]).withColumns({"row": F.lit(1), "pos": F.lit(2)})
+    df = docs_of(spark, [(i, t, "s") for i, t in rows]).withColumns({"row": F.lit(1), "pos": F.lit(2), "lines_out": F.lit(3)})
     out = linededup.dedup_lines(df)
-    assert out.columns == [*df.columns, "lines_in", "lines_out"]
+    assert out.columns == [*df.drop("lines_out").columns, "lines_in", "lines_out"]
     got = out.collect()
-    want = plain_dedup(rows)
-    assert {r.doc_id: r.text if r.text is None or r.lines_out else "" for r in got} == {i: t for i, t in want.items()}
+    same_texts(got, rows)
     assert sum(r.lines_in - r.lines_out for r in got) > 20
 
 
+@pytest.mark.parametrize("few", [8, 1])
+def test_every_line_of_one_edit_is_found(spark, monkeypatch, few):
+    """Recall against edit distance alone: lines of 5 to 120 words from few words, so that buckets are large."""
+    monkeypatch.setattr(linededup, "FEW", few)
+    rng = random.Random(21)
+    lines = []
+    for n in [5] * 60 + [6] * 40 + [9] * 20 + [20] * 10 + [120] * 5:
+        base = [f"w{int(rng.expovariate(0.2))}" for _ in range(n)]
+        lines.append(base)
+        for _ in range(2):
+            w, at = list(base), rng.randrange(n)
+            w[at:at + rng.choice([0, 1])] = [f"w{int(rng.expovariate(0.2))}"] * rng.choice([0, 1, 1])
+            lines.append(w)
+    rows = [(i, " ".join(w)) for i, w in enumerate(lines)]
+    same_texts(linededup.dedup_lines(docs_of(spark, [(i, t, "s") for i, t in rows])).collect(), rows)
+
+
 def test_lines_are_told_apart_by_letters_and_digits(spark):
     line = "One, two three: four-five six 7 ünf"
     rows = [(1, line), (2, line + "\r"), (3, "one\ttwo\tthree\tfour\tfive\tsix\t7\tÜnf"), (4, "  One two  three four five (six) 7 ünf!"), (5, "One two three four five six 8 other")]
@@ -108,33 +118,70 @@ def test_lines_are_told_apart_by_letters_and_digits(spark):
     assert got == {1: 1, 2: 0, 3: 0, 4: 0, 5: 1}
 
 
-def test_repetitive_and_unspaced_lines_take_part(spark):
-    once = ["no no no no no", "ha " * 73, "今天天气很好我们去公园", "ひらがな、カタカナ", "สวัสดีชาวโลก", "one two two two two"]
-    rows = [(i, "\n".join([*once, "a b b a"])) for i in range(2)] + [(2, "今天天气\n今天天气")]
+def test_equal_lines_of_any_length_take_part(spark):
+    once = ["no no no no no", "ha " * 73, "今天天气很好我们去公园", "ひらがな、カタカナ", "สวัสดีชาวโลก", "one two two two two", "a b b a", "Yes."]
+    rows = [(i, "\n".join([*once, "---", ""])) for i in range(2)] + [(2, "今天天气\n今天天气\nyes")]
     got = {r.doc_id: r for r in linededup.dedup_lines(docs_of(spark, [(i, t, "s") for i, t in rows])).collect()}
-    assert [got[i].lines_out for i in range(3)] == [7, 1, 2] and got[1].text == "a b b a"
+    assert [got[i].lines_out for i in range(3)] == [10, 2, 1] and got[1].text == "---\n"
+    same_texts(got.values(), rows)
 
 
-def test_simhash_widths_agree(spark):
+def test_hashes_of_long_and_short_lines_agree(spark):
     df = docs_of(spark, [(i, t, "s") for i, t in like_lines()])
-    x = df.select("doc_id", F.lit(1).alias("row"), F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("doc_id", "row", "pos", linededup.normalised(F.col("line")).alias("norm"))
-    a, b = ({(r.doc_id, r.pos): r.sim for r in linededup._hashed(x, w).collect()} for w in (16, 32))
+    x = df.select("doc_id", F.lit(1).alias("row"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    x = x.select("doc_id", "row", "pos", linededup.words_of(F.col("line")).alias("w")).where(F.size("w") >= linededup.MIN_WORDS)
+    a, b = ({(r.doc_id, r.pos): (r.k1, r.k2, r.n, r.sim, r.counts) for r in hashed(x).collect()} for hashed in (linededup._hashed, linededup._hashed_long))
     assert a == b and len(a) > 50
+    assert all(sum(c >> 12 * g & 4095 for g in range(5)) == n for _, _, n, _, c in a.values())
+
+
+def test_simhash_blocks_are_majorities_of_their_words(spark):
+    words = [f"w{i}" for i in range(40)]
+    h = {r.w: r.h for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+    got = linededup._hashed(spark.createDataFrame([(1, 1, 0, words)], "doc_id long, row long, pos int, w array<string>")).first()
+    for g in range(5):
+        own = [x for x in h.values() if x % 5 == g]
+        assert got.counts >> 12 * g & 4095 == len(own)
+        for b in range(12):
+            assert got.sim >> 12 * g + b & 1 == (2 * sum(x >> 8 + b & 1 for x in own) > len(own))
+
+
+def test_one_edit_on_words(spark):
+    base = "a b c d e".split()
+    near = [["x", *base], [*base, "x"], base[1:], base[:-1], ["a", "b", "x", "d", "e"], ["a", "b", "b", "c", "d", "e"], ["a", "b", "d", "e"]]
+    far = [["b", "a", "c", "d", "e"], base[2:], [*base, "x", "y"], ["x", "b", "c", "d", "y"], ["b", "c", "d", "e", "f", "g"], ["x", "b", "c", "d"], []]
+    df = spark.createDataFrame([(base, w) for w in near + far], "a array<string>, b array<string>")
+    for x, y in (("a", "b"), ("b", "a")):
+        got = [r.e for r in df.select(linededup.one_edit(F.col(x), F.col(y)).alias("e")).collect()]
+        assert got == [True] * len(near) + [False] * len(far)
 
 
 def test_large_group_and_long_line(spark):
     words = [f"w{i}" for i in range(200)]
-    rows = [(i, " ".join(words[:190] + [f"x{i}"] + words[191:])) for i in range(300)] + [(1000, " ".join(f"z{i % 70_000}" for i in range(140_000)))]
+    rows = [(i, " ".join(words[:190] + [f"x{i}"] + words[191:])) for i in range(300)]
+    long = [f"z{i % 70_000}" for i in range(140_000)]
+    rows += [(1000, " ".join(long)), (1001, " ".join(long[1:])), (1002, " ".join(long[2:]))]
     got = {r.doc_id: r for r in linededup.dedup_lines(docs_of(spark, [(i, t, "s") for i, t in rows])).collect()}
-    assert got[1000].lines_out == 1
-    assert sum(r.lines_out for i, r in got.items() if i < 300) < 30
+    assert [got[i].lines_out for i in (1000, 1001, 1002)] == [1, 0, 0]
+    assert sum(r.lines_out for i, r in got.items() if i < 300) == 1 and got[0].lines_out == 1
+
+
+def test_groups_take_no_pairs(spark):
+    """Lines that share most of their words, no two of them one edit apart, and one that links with another."""
+    words = [[f"w{j}" for j in range(12)] for _ in range(200)]
+    for i, w in enumerate(words):
+        w[i % 12], w[(i * 7 + 5) % 12] = f"x{i}", f"y{i}"
+    words.append([*words[0][:-1], "other"])
+    df = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "sid long, w array<string>")
+    assert [(r.a, r.b) for r in linededup._grouped(materialise(df, "words")).collect()] == [(0, 200)]
 
 
 def test_line_dedup_edges(spark):
     df = docs_of(spark, edge_rows())
     got = linededup.dedup_lines(df).collect()
     assert len(got) == len(edge_rows())
-    assert sorted((r.text or "") for r in got) == sorted((t or "") for _, t, _ in edge_rows())
+    texts = {7: "line\n"}
+    assert sorted((r.text or "") for r in got) == sorted(texts.get(i, t or "") for i, t, _ in edge_rows())
     assert linededup.dedup_lines(df.limit(0)).count() == 0
 
 
