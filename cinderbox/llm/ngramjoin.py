@@ -1,9 +1,12 @@
 """N-gram Jaccard join: a count-vector R-tree bounds overlaps, surviving pairs are verified exactly.
 
 A document's set holds its distinct five-word shingles, as 64-bit hashes. Hashed
-into GROUPS groups, a set becomes a point of group counts, and the overlap of two
-sets is at most the sum of their coordinates' minima. Two documents link when
-100 * overlap >= 80 * union, which is decided on the sets themselves.
+into groups, a set becomes a point of group counts, and the overlap of two sets
+is at most the sum of their coordinates' minima. A point has about half as many
+groups as its set has shingles, so that unlike sets have a low bound whatever
+their size; groups are the leading bits of a hash, so two neighbouring groups
+together are one of the next coarser point. Two documents link when 100 * overlap >= 80 *
+union, which is decided on the sets themselves.
 
 How the index is spread over a cluster without losing a link:
 
@@ -17,13 +20,13 @@ How the index is spread over a cluster without losing a link:
   on. Each class is first compared with one hub, the class that leads most of its
   shards; large groups of near
   copies become one component by a number of comparisons in proportion to it.
-* Shards whose classes still lie in different components are indexed: an R-tree
-  over their points (upper corners of group counts, ranges of set sizes) yields,
-  for each point, the others that its bound admits, best first. Pairs that also
-  pass the bound in finer groups, whose number follows the set's size, are
-  verified in three turns - the first few, the next, all the rest - and what has
-  become one component meanwhile is not compared again. Large shards are cut
-  into blocks, and each pair of blocks is a task of its own.
+* Shards whose classes still lie in different components are indexed, without
+  the classes that have none of a fitting size beside them: R-trees over their
+  points (upper corners of group counts, ranges of set sizes), one for each
+  number of groups, yield for each point the others that its bound admits, best
+  first. These pairs are verified in turns - each point's best, its best few, all
+  - and what has become one component meanwhile is not compared again. Large
+  shards are cut into blocks, and each pair of blocks is a task of its own.
 
 All counts cover all rows, nothing is capped or sampled; what the result needs
 are the components, so pairs inside one component need no comparison.
@@ -48,20 +51,22 @@ from pyspark.sql import functions as F
 from .common import batch_rows, components, materialise, release, small, table
 
 WORDS, PERCENT = 5, 80
-#: Coordinates of a point.
-GROUPS = 128
+#: The least and the most bits of a group's number.
+BITS = (6, 14)
 #: Groups of shingles that are counted to find frequent ones, and the counts in one task from which a group is frequent.
 COUNTED, FREQUENT = 1 << 22, 16
 #: Frequent groups that the order knows, at most: it decides which shards are used, never which links are found.
 KNOWN = 1 << 18
 #: Parts of a frequent shard; points in a block of a shard; points in a leaf of the tree; members compared with a copy of their hub.
 SALTS, BLOCK, LEAF, MEMBERS = 32, 1024, 32, 200
-#: Candidates of a point, best first, that are verified in each turn.
-TURNS = ((0, 4), (4, 64), (64, 1 << 62))
-#: Sets whose keys a task has sent already (copies in one task are sent once).
+#: Candidates of a point in a shard that are verified in each turn, best first; the last takes all.
+TURNS = (1, 8, 1 << 62)
+#: Bytes of points of shards, some of them the same, in a unit of them.
+UNIT = 32 << 20
+#: Sets whose keys, or pairs, a task has sent already (each is sent once, until so many are held).
 SENT = 1 << 20
-#: Texts in a batch that goes to a Python worker.
-TEXTS = 500
+#: Texts, and points, in a batch that goes to a Python worker.
+TEXTS, POINTS = 500, 2000
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -93,25 +98,33 @@ def name(s: np.ndarray) -> tuple[int, int]:
 
 
 def point(s: np.ndarray) -> bytes:
-    """Counts of a set's shingles in each group, as 32-bit numbers."""
-    return np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=GROUPS).astype(np.uint32).tobytes()
-
-
-def fine(s: np.ndarray) -> bytes:
-    """The point in about half as many groups as the set has shingles: the bits of a group's number, then the counts."""
-    bits = min(20, max(7, len(s).bit_length() - 1))
+    """Counts of a set's shingles in each group: the bits of a group's number and the bytes of a count, then the counts."""
+    bits = min(BITS[1], max(BITS[0], len(s).bit_length() - 1))
     counts = np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
     width = 1 if counts.max(initial=0) < 256 else 4
     return bytes([bits, width]) + counts.astype(f"<u{width}").tobytes()
 
 
-def fine_bound(a: bytes, b: bytes) -> int:
-    """Sum of the minima of two fine points, in the groups of the coarser one."""
-    x, y = (np.frombuffer(p, f"<u{p[1]}", offset=2) for p in (a, b))
-    if len(x) != len(y):
-        n = min(len(x), len(y))
-        x, y = (v.reshape(n, -1).sum(axis=1, dtype=np.int64) for v in (x, y))
-    return int(np.minimum(x, y).sum(dtype=np.int64))
+def counts_of(p: bytes) -> np.ndarray:
+    return np.frombuffer(p, f"<u{p[1]}", offset=2)
+
+
+def coarser(points: np.ndarray) -> np.ndarray:
+    """Points in half as many groups, as 32-bit numbers."""
+    return points[..., ::2].astype(np.uint32) + points[..., 1::2]
+
+
+def bounds(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sums of the coordinates' minima of points, row by row; both have the same groups."""
+    return np.minimum(a, b).sum(axis=-1, dtype=np.int64)
+
+
+def bound(a: bytes, b: bytes) -> int:
+    """The bound of two points, in the groups of the coarser one."""
+    x, y = counts_of(a), counts_of(b)
+    while len(x) != len(y):
+        x, y = (coarser(v) if len(v) > min(len(x), len(y)) else v for v in (x, y))
+    return int(bounds(x, y))
 
 
 def needed(a, b):
@@ -132,7 +145,7 @@ def prefix(s: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> tuple[np.
 def _points(docs: DataFrame) -> DataFrame:
     """A row for each document (doc_id, text hash, size, name, point) and for each frequent group of a task."""
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "row", "n", "s1", "s2", "point", "fine"]
+        names = ["doc_id", "row", "n", "s1", "s2", "point"]
         counted, seen = np.zeros(COUNTED, np.uint32), 0
         for b in batches:
             ids, row, texts = b.columns
@@ -141,16 +154,16 @@ def _points(docs: DataFrame) -> DataFrame:
                 s = shingles(t.as_py())
                 np.add.at(counted, (s >> np.uint64(42)).astype(np.int64), 1)
                 seen += len(s)
-                out.append((len(s), *name(s), point(s) if len(s) else None, fine(s) if len(s) else None))
-            cols = list(zip(*out, strict=True)) or [[]] * 5
-            kinds = [pa.int64()] * 3 + [pa.binary()] * 2
+                out.append((len(s), *name(s), point(s) if len(s) else None))
+            cols = list(zip(*out, strict=True)) or [[]] * 4
+            kinds = [pa.int64()] * 3 + [pa.binary()]
             yield pa.RecordBatch.from_arrays([ids, row, *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=names)
         often = np.flatnonzero(counted >= FREQUENT + 4 * seen // COUNTED)
         none = pa.nulls(len(often), pa.int64())
         # a negative size marks a group and its count
-        yield pa.RecordBatch.from_arrays([none, none, pa.array(-counted[often].astype(np.int64)), pa.array(often), none, *[pa.nulls(len(often), pa.binary())] * 2], names=names)
+        yield pa.RecordBatch.from_arrays([none, none, pa.array(-counted[often].astype(np.int64)), pa.array(often), none, pa.nulls(len(often), pa.binary())], names=names)
 
-    return docs.mapInArrow(of, "doc_id bigint, row bigint, n bigint, s1 bigint, s2 bigint, point binary, fine binary")
+    return docs.mapInArrow(of, "doc_id bigint, row bigint, n bigint, s1 bigint, s2 bigint, point binary")
 
 
 def _keys(docs: DataFrame, frequent: np.ndarray, counts: np.ndarray) -> DataFrame:
@@ -236,20 +249,19 @@ def _told_apart(shared: DataFrame) -> DataFrame:
     return materialise(shared.join(kept, "key", "left_semi"), "shared")
 
 
-def admitted(pairs: DataFrame, classes: DataFrame, points: DataFrame) -> DataFrame:
-    """Of the pairs (a, b) those whose fine points may overlap enough: unlike texts end here, whatever their length."""
-    ids = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
-    ids = small(materialise(ids.join(classes.select("sid", "n", F.col("doc_id").alias("d"), F.col("row").alias("r")), "sid"), "ids"))
-    found = points.select("doc_id", "row", "fine").join(ids, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r")))
-    found = materialise(found.select("sid", "n", "fine"), "fine")
-    p, q = (found.select(F.col("sid").alias(x), F.col("n").alias(f"{x}_n"), F.col("fine").alias(f"{x}_fine")) for x in "ab")
-    rows = pairs.join(p, "a").join(q, "b").select("a", "b", "a_n", "b_n", "a_fine", "b_fine")
+def admitted(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Of the pairs (a, b) those whose points may overlap enough: unlike texts end here, whatever their length."""
+    ids = small(materialise(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids"))
+    found = materialise(classes.join(ids, F.col("sid") == F.col("id"), "left_semi").select("sid", "n", "point"), "asked")
+    p, q = (found.select(F.col("sid").alias(x), F.col("n").alias(f"{x}_n"), F.col("point").alias(f"{x}_point")) for x in "ab")
+    fits = (100 * F.least("a_n", "b_n")) >= PERCENT * F.greatest("a_n", "b_n")
+    rows = pairs.join(p, "a").join(q, "b").where(fits).select("a", "b", "a_n", "b_n", "a_point", "b_point")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, m = (batch.column(k).to_numpy() for k in (2, 3))
             least = needed(n, m).tolist()
-            fit = [fine_bound(x.as_py(), y.as_py()) >= k for x, y, k in zip(batch.column(4), batch.column(5), least, strict=True)]
+            fit = [bound(x.as_py(), y.as_py()) >= k for x, y, k in zip(batch.column(4), batch.column(5), least, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(fit, pa.bool_()))
 
     return rows.mapInArrow(of, "a bigint, b bigint").distinct()
@@ -286,11 +298,6 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
     return rows.mapInArrow(of, "a bigint, b bigint")
 
 
-def bounds(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Sums of the coordinates' minima of points, row by row."""
-    return np.minimum(a, b).sum(axis=-1, dtype=np.int64)
-
-
 class RTree:
     """Points of group counts, packed by size and by their heaviest coordinate, under upper corners and size ranges."""
 
@@ -327,85 +334,166 @@ class RTree:
         return self.order[at[keep]], most[keep]
 
 
-def shard_candidates(sid: np.ndarray, root: np.ndarray, side: np.ndarray, sizes: np.ndarray, points: np.ndarray, turn: tuple[int, int]) -> list[tuple[int, int]]:
-    """Pairs of one shard (or pair of its blocks) that the bound admits, of different components, of this turn.
-
-    Ranks count all that the bound admits, whatever its component, so the turns
-    together cover every pair.
+class Shard:
+    """Classes of a shard, or of two of its blocks, with R-trees of the points of each number of groups."""
+
+    def __init__(self, sid: np.ndarray, root: np.ndarray, side: np.ndarray, sizes: np.ndarray, points: list[bytes]):
+        self.sid, self.root, self.side, self.sizes = sid, root, side, sizes
+        self.crossing = side.min() != side.max()
+        bits = np.fromiter((p[0] for p in points), np.int64, len(points))
+        self.levels = {}
+        for b in np.unique(bits):
+            at = np.flatnonzero(bits == b)
+            counts = np.stack([counts_of(points[k]) for k in at])
+            self.levels[int(b)] = at, counts, RTree(counts, sizes[at])
+
+    def candidates(self, best: int) -> list[tuple[int, int]]:
+        """Of the pairs that the bound admits, of different components, the best of each point.
+
+        A point meets those with as many groups and those with half as many; one
+        with twice as many meets it. Sets that link differ less in size than that.
+        """
+        out = []
+        for b, (own, counts, tree) in self.levels.items():
+            below = self.levels.get(b - 1)
+            half = coarser(counts) if below else counts
+            for k, i in enumerate(own):
+                near, most = tree.near(counts[k], int(self.sizes[i]))
+                near = own[near]
+                if below:
+                    more, most_of = below[2].near(half[k], int(self.sizes[i]))
+                    near, most = np.concatenate([near, below[0][more]]), np.concatenate([most, most_of])
+                keep = self.root[near] != self.root[i]
+                if self.crossing:
+                    keep &= self.side[near] != self.side[i]
+                near, most = near[keep], most[keep]
+                a = int(self.sid[i])
+                out += [(min(a, j), max(a, j)) for j in self.sid[near[np.lexsort((self.sid[near], -most))][:best]].tolist()]
+        return out
+
+
+def close_pairs(which: np.ndarray, sid: np.ndarray, root: np.ndarray, n: np.ndarray, points: list[bytes], best: int) -> set[tuple[int, int]]:
+    """The same for many shards of at most a leaf of points, whose rows lie together.
+
+    Such a shard is one leaf of a tree: pairs at each distance are tried at once, by their numbers of groups.
     """
-    out = []
-    tree = RTree(points, sizes)
-    crossing = side.min() != side.max()
-    for i in range(len(sid)):
-        at, most = tree.near(points[i], int(sizes[i]))
-        keep = at != i
-        if crossing:
-            keep &= side[at] != side[i]
-        at, most = at[keep], most[keep]
-        at = at[np.lexsort((sid[at], -most))][turn[0]:turn[1]]
-        out += [(min(int(sid[i]), int(j)), max(int(sid[i]), int(j))) for j in sid[at[root[at] != root[i]]]]
-    return out
-
-
-def _candidates(residual: DataFrame, turn: tuple[int, int]) -> DataFrame:
-    """Pairs (a, b) from the shards in ``residual`` (key, i, j, side, sid, root, n, point)."""
+    if not len(which):
+        return set()
+    bits = np.fromiter((p[0] for p in points), np.int64, len(points))
+    place = np.zeros(len(points), np.int64)
+    levels: dict[int, np.ndarray] = {}
+    for b in np.unique(bits):
+        at = np.flatnonzero(bits == b)
+        place[at] = np.arange(len(at))
+        levels[int(b)] = np.stack([counts_of(points[k]) for k in at])
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for d in range(1, LEAF):
+        together = which[:-d] == which[d:]
+        if not together.any():
+            break
+        least, most = np.minimum(n[:-d], n[d:]), np.maximum(n[:-d], n[d:])
+        a = np.flatnonzero(together & (root[:-d] != root[d:]) & (100 * least >= PERCENT * most))
+        # the one with more groups first
+        x, y = np.where(bits[a] >= bits[a + d], a, a + d), np.where(bits[a] >= bits[a + d], a + d, a)
+        for b in np.unique(bits[x]):
+            for c in (b, b - 1):
+                at = np.flatnonzero((bits[x] == b) & (bits[y] == c))
+                for k in range(0, len(at), 4096):
+                    p, q = x[at[k:k + 4096]], y[at[k:k + 4096]]
+                    finer = levels[int(b)][place[p]]
+                    shared = bounds(finer if b == c else coarser(finer), levels[int(c)][place[q]])
+                    fit = shared >= needed(n[p], n[q])
+                    found.append((p[fit], q[fit], shared[fit]))
+    if not found:
+        return set()
+    p, q, most = (np.concatenate(x) for x in zip(*found, strict=True))
+    p, q, most = np.concatenate([p, q]), np.concatenate([q, p]), np.concatenate([most, most])
+    order = np.lexsort((sid[q], -most, p))
+    p, q = p[order], q[order]
+    first = np.maximum.accumulate(np.where(np.concatenate(([True], p[1:] != p[:-1])), np.arange(len(p)), 0))
+    keep = np.arange(len(p)) - first < best
+    a, b = sid[p[keep]], sid[q[keep]]
+    return set(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True))
+
+
+def _candidates(residual: DataFrame, classes: DataFrame, best: int) -> DataFrame:
+    """Pairs (a, b) from the shards in ``residual`` (lead, unit, key, i, j, side, sid, root, n)."""
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
+        points: dict[int, bytes] = {}
+        done: set[tuple[int, int]] = set()
 
         def found(cols: list[np.ndarray]) -> pa.RecordBatch:
-            key, i, j, side, sid, root, n, points = cols
-            out: list[tuple[int, int]] = []
-            edge = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), [True])))
+            key, i, j, side, sid, root, n = cols[3:]
+            out: set[tuple[int, int]] = set()
+            differs = (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]) | (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+            edge = np.flatnonzero(np.concatenate(([True], differs, [True])))
             count = np.repeat(np.diff(edge), np.diff(edge))
-            # shards of up to a leaf are one leaf: all pairs at distance d in the batch at once
-            small, which = count <= LEAF, np.repeat(np.arange(len(edge) - 1), np.diff(edge))
-            if turn[0] == 0:
-                for d in range(1, LEAF):
-                    a = np.flatnonzero(small[:-d] & (which[:-d] == which[d:]) & (root[:-d] != root[d:])) if d < len(key) else []
-                    if not len(a):
-                        if d < len(key) and (which[:-d] == which[d:]).any():
-                            continue
-                        break
-                    fit = bounds(points[a], points[a + d]) >= needed(n[a], n[a + d])
-                    out += zip(np.minimum(sid[a], sid[a + d])[fit].tolist(), np.maximum(sid[a], sid[a + d])[fit].tolist(), strict=True)
+            leaf = np.flatnonzero(count <= LEAF)
+            which = np.repeat(np.arange(len(edge) - 1), np.diff(edge))
+            out |= close_pairs(which[leaf], sid[leaf], root[leaf], n[leaf], [points[k] for k in sid[leaf].tolist()], best)
             for lo, hi in zip(edge[:-1], edge[1:], strict=True):
                 if hi - lo > LEAF:
-                    out += shard_candidates(sid[lo:hi], root[lo:hi], side[lo:hi], n[lo:hi], points[lo:hi], turn)
-            out = list(set(out))
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+                    own = [points[k] for k in sid[lo:hi].tolist()]
+                    out.update(Shard(sid[lo:hi], root[lo:hi], side[lo:hi], n[lo:hi], own).candidates(best))
+            if len(done) > SENT:
+                done.clear()
+            rows = list(out - done)
+            done.update(rows)
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         for b in batches:
             if not len(b):
                 continue
-            cols = [c.to_numpy(zero_copy_only=False) for c in b.columns[:7]]
-            cols.append(np.frombuffer(b"".join(b.column(7).to_pylist()), np.uint32).reshape(-1, GROUPS).astype(np.int32))
+            cols = [c.to_numpy(zero_copy_only=False) for c in b.columns[:10]]
+            # a unit that reaches into the next batch waits for it; in each, the points come first
+            cut = np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]))
+            end = int(cut[-1]) + 1 if len(cut) else 0
+            sent = cols[2] == 0
+            points.update(zip(cols[7][sent].tolist(), b.column(10).filter(pa.array(sent)).to_pylist(), strict=True))
             held = [[*h, c] for h, c in zip(held, cols, strict=True)] if held else [[c] for c in cols]
-            key, i, j = cols[:3]
-            # a shard that reaches into the next batch waits for it; it has at most two blocks of points
-            cut = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))
-            if len(cut):
+            if end:
                 whole = [np.concatenate(h) for h in held]
-                end = len(whole[0]) - (len(key) - int(cut[-1]) - 1)
-                yield found([c[:end] for c in whole])
+                end = len(whole[0]) - (len(cols[0]) - end)
+                ready = whole[2][:end] == 1
+                yield found([c[:end][ready] for c in whole])
                 held = [[c[end:]] for c in whole]
+                rest = set(held[7][0].tolist())
+                points = {k: v for k, v in points.items() if k in rest}
         if held:
-            yield found([np.concatenate(h) for h in held])
-
-    rows = residual.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "sid")
+            whole = [np.concatenate(h) for h in held]
+            yield found([c[whole[2] == 1] for c in whole])
+
+    names = ["lead", "unit", "role", "key", "i", "j", "side", "sid", "root", "n", "point"]
+    members = residual.select("lead", "unit", F.lit(1).alias("role"), *names[3:10], F.lit(None).cast("binary").alias("point"))
+    sent = residual.select("lead", "unit", "sid").distinct().join(classes.select("sid", "n", "point"), "sid").select(
+        "lead", "unit", F.lit(0).alias("role"), F.lit(0).cast("long").alias("key"), *[F.lit(0).cast("int").alias(c) for c in ("i", "j", "side")],
+        "sid", F.lit(0).cast("long").alias("root"), "n", "point")
+    rows = members.unionByName(sent).select(*names).repartition("lead", "unit").sortWithinPartitions("lead", "unit", "role", "key", "i", "j", "sid")
     return rows.mapInArrow(of, "a bigint, b bigint")
 
 
 def _residual(shared: DataFrame, classes: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """Shards with classes in different components, cut into pairs of blocks."""
-    x = shared.select("key", "sid")
-    x = x.join(roots, x.sid == roots.node, "left").select("key", "sid", F.coalesce("root", "sid").alias("root")) if roots is not None else x.withColumn("root", F.col("sid"))
-    open_ = x.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo <> hi").select(
-        F.col("key").alias("k"), F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
-    x = x.join(open_, x.key == open_.k).join(classes.select("sid", "n", "point"), "sid")
+    """Shards with classes in different components, without those that have none of a fitting size beside them, cut into pairs of blocks."""
+    x = shared.select("key", "sid", "n")
+    x = x.join(roots, x.sid == roots.node, "left").select("key", "sid", "n", F.coalesce("root", "sid").alias("root")) if roots is not None else x.withColumn("root", F.col("sid"))
+    # sizes that may link lie in the same or the next class; counts of a shard's classes are combined before the shuffle
+    x = x.withColumn("class", F.floor(F.log(F.col("n")) / F.log(F.lit(100.01 / PERCENT))).cast("int"))
+    each = x.groupBy("key", "class").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    each = each.withColumn("class", F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)))
+    fit = each.groupBy("key", "class").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("key", "class")
+    x = materialise(x.join(fit, ["key", "class"], "left_semi"), "sized")
+    groups = F.least(F.col("n"), F.lit(1 << BITS[1]))
+    open_ = x.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("c"), F.min("sid").alias("lead"), F.sum(groups).alias("w"))
+    open_ = open_.where("lo <> hi").select(F.col("key").alias("k"), F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"), "lead", "w")
+    open_ = materialise(open_, "open")
+    units = open_.groupBy(F.col("lead").alias("l")).agg(F.ceil(F.sum(F.col("w") * F.col("blocks")) / UNIT).cast("int").alias("units"))
+    x = x.join(open_.join(units, F.col("lead") == F.col("l")).drop("l", "w"), x.key == F.col("k"))
     x = x.withColumn("block", F.pmod(F.hash("sid"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     # a block meets itself with one side, another block with two
-    return x.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-                    F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"), "sid", "root", "n", "point")
+    x = x.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+                 F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"), "sid", "root", "n", "lead", "units")
+    return x.withColumn("unit", F.pmod(F.hash("key", "i", "j"), "units")).drop("units")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -428,18 +516,19 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
 
     shared = _told_apart(materialise(_shared(_keys(docs, frequent, counts)), "shared"))
     release(spark)
-    by_name = classes.select(F.col("s1").alias("c1"), "sid")
+    by_name = classes.select(F.col("s1").alias("c1"), "sid", "n")
     named = lambda df, c, out: df.join(by_name, F.col(c) == F.col("c1")).withColumnRenamed("sid", out).drop("c1")
     # the hub that leads most of a class's shards, and the least hub of each frequent shard for the others
-    led = named(named(shared.where("s1 <> hub").groupBy("s1", "hub").agg(F.count(F.lit(1)).alias("c")), "s1", "a"), "hub", "b")
+    led = named(named(shared.where("s1 <> hub").groupBy("s1", "hub").agg(F.count(F.lit(1)).alias("c")), "s1", "a").drop("n"), "hub", "b")
     led = led.groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b"))
     hubs = shared.where("hot").select("key", "hub").distinct()
     least_hub = hubs.groupBy("key").agg(F.min("hub").alias("least"))
     across = hubs.join(least_hub, "key").where("hub <> least").select("hub", "least").distinct()
-    across = named(named(across, "hub", "a"), "least", "b").select("a", "b")
+    across = named(named(across, "hub", "a").drop("n"), "least", "b").select("a", "b")
     tested = materialise(led.unionByName(across).where("a <> b").distinct(), "pairs")
-    pairs = materialise(admitted(tested, classes, rows), "pairs")
-    shared = materialise(named(shared.select("key", "s1"), "s1", "sid").select("key", "sid"), "shards")
+    with batch_rows(spark, POINTS):
+        pairs = materialise(admitted(tested, classes), "pairs")
+    shared = materialise(named(shared.select("key", "s1"), "s1", "sid").select("key", "sid", "n"), "shards")
     release(spark)
 
     with batch_rows(spark, TEXTS):
@@ -447,18 +536,19 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     release(spark)
     roots = components(links)
     tested = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    for turn in TURNS:
+    for best in TURNS:
         residual = materialise(_residual(shared, classes, roots), "residual")
         if residual.isEmpty():
             break
-        new = materialise(_candidates(residual, turn).distinct().join(tested, ["a", "b"], "left_anti"), "candidates")
-        tested = tested.unionByName(new)
+        with batch_rows(spark, POINTS):
+            found_now = materialise(_candidates(residual, classes, best), "met")
+        new = materialise(found_now.distinct().join(tested, ["a", "b"], "left_anti"), "candidates")
         release(spark)
-        pairs = materialise(admitted(new, classes, rows), "pairs")
-        if pairs.isEmpty():
+        if new.isEmpty():
             continue
+        tested = tested.unionByName(new)
         with batch_rows(spark, TEXTS):
-            more = materialise(verified(pairs, classes, docs), "links")
+            more = materialise(verified(new, classes, docs), "links")
         links = links.unionByName(more)
         roots = components(links)
         release(spark)
@@ -473,9 +563,12 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component, that of the smallest id; documents with empty sets stay."""
+    """``docs`` with one document of each component, that of the smallest id; documents with empty sets stay.
+
+    Of rows that agree in id and text the one with the least hash of all columns stays; rows with empty sets stay
+    however often they are repeated.
+    """
     found = materialise(near_duplicates(docs), "components")
-    # rows that agree in id and text are told apart by nothing; one of them stays if they have shingles, else all do
     rows = found.groupBy("doc_id", "row").agg(F.max("n_shingles").alias("n"), F.max("root").alias("root"), F.count(F.lit(1)).alias("c"))
     chosen = rows.where("n > 0").groupBy("root").agg(F.min(F.struct("doc_id", "row", "c")).alias("m"))
     chosen = chosen.select("m.*").unionByName(rows.where("n = 0").select("doc_id", "row", F.lit(1).cast("long").alias("c")))
@@ -483,10 +576,13 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     def kept(some: DataFrame) -> DataFrame:
         return docs.withColumn("__row", F.xxhash64("text")).join(
-            some.drop("c"), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__row") == F.col("__r")), "left_semi").drop("__row")
+            some.drop("c"), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__row") == F.col("__r")), "left_semi")
 
     again = chosen.where("c > 1")
-    return kept(chosen) if again.isEmpty() else kept(chosen.where("c = 1")).unionByName(kept(again).dropDuplicates(["doc_id", "text"]))
+    if again.isEmpty():
+        return kept(chosen).drop("__row")
+    one = kept(again).groupBy("doc_id", "__row").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("m")).select("m.*")
+    return kept(chosen.where("c = 1")).drop("__row").unionByName(one)
 
 
 def op3_ngram_jaccard(spark, sf_dir):
