@@ -61,8 +61,8 @@ KNOWN = 1 << 18
 SALTS, BLOCK, LEAF, MEMBERS = 32, 1024, 32, 200
 #: Candidates of a point in a shard that are verified in each turn, best first; the last takes all.
 TURNS = (1, 8, 1 << 62)
-#: Bytes of points of shards, some of them the same, in a unit of them.
-UNIT = 32 << 20
+#: Rows of shards in a unit of them.
+UNIT = 2000
 #: Sets whose keys, or pairs, a task has sent already (each is sent once, until so many are held).
 SENT = 1 << 20
 #: Texts, and points, in a batch that goes to a Python worker.
@@ -483,12 +483,11 @@ def _residual(shared: DataFrame, classes: DataFrame, roots: DataFrame | None) ->
     each = each.withColumn("class", F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)))
     fit = each.groupBy("key", "class").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("key", "class")
     x = materialise(x.join(fit, ["key", "class"], "left_semi"), "sized")
-    groups = F.least(F.col("n"), F.lit(1 << BITS[1]))
-    open_ = x.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("c"), F.min("sid").alias("lead"), F.sum(groups).alias("w"))
-    open_ = open_.where("lo <> hi").select(F.col("key").alias("k"), F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"), "lead", "w")
+    open_ = x.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("c"), F.min("sid").alias("lead"))
+    open_ = open_.where("lo <> hi").select(F.col("key").alias("k"), F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"), "lead", "c")
     open_ = materialise(open_, "open")
-    units = open_.groupBy(F.col("lead").alias("l")).agg(F.ceil(F.sum(F.col("w") * F.col("blocks")) / UNIT).cast("int").alias("units"))
-    x = x.join(open_.join(units, F.col("lead") == F.col("l")).drop("l", "w"), x.key == F.col("k"))
+    units = open_.groupBy(F.col("lead").alias("l")).agg(F.ceil(F.sum(F.col("c") * F.col("blocks")) / UNIT).cast("int").alias("units"))
+    x = x.join(open_.join(units, F.col("lead") == F.col("l")).drop("l", "c"), x.key == F.col("k"))
     x = x.withColumn("block", F.pmod(F.hash("sid"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     # a block meets itself with one side, another block with two
     x = x.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
