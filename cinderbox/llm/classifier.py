@@ -2,19 +2,24 @@
 
 A document is the mean of its words' vectors; a word's vector is the mean of the
 learned vectors of the hashed word itself and of its hashed character n-grams
-inside word marks. A word that equals the one before it adds a marker word. A softmax layer on top gives the classes. Everything is numpy
-and seeded. Words are hashed by CRC-32, so vectors do not depend on the process.
+inside word marks. A word that equals the one before it adds one marker word, whose
+vector is learned like any other's: hashed words cannot tell that an unknown word
+is repeated, and without it held-out accuracy at sf0.1 is 0.966 instead of 0.997.
+A softmax layer on top gives the classes. Everything is numpy and seeded. Words are
+hashed by CRC-32, so vectors do not depend on the process.
 
 The model is fitted on the driver on a bounded sample of labelled rows
-(``SAMPLE`` documents, the least hashes of their ids, whole texts); its size
-does not depend on the data and it goes to the workers as a broadcast. Scoring
-reads every whole text once.
+(``SAMPLE`` documents, the least hashes of their ids, whole texts of at most
+``SAMPLE_CHARS`` characters together, chosen by their lengths before a text is
+fetched); its size does not depend on the data and it goes to the workers as a
+broadcast. Scoring reads every whole text once.
 
 Defined cases: null and empty texts score the model's prior (the bias alone);
 texts of any length count whole; repeated rows score alike; rows without a label
-or with a null id or label are never learned from; with no labels at all, or
-labels of one class, every score is that class's share (0.5 with none); other
-columns pass by, except one named score.
+or with a null id or label are never learned from, and of rows that share an id
+the one of least text hash is; with no labels at all, or labels of one class,
+every score is that class's share (0.5 with none); other columns pass by, except
+one named score.
 """
 
 from __future__ import annotations
@@ -242,15 +247,20 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str = "quality", sa
     if not chosen:
         return []
     ids = F.broadcast(spark.createDataFrame(chosen, "doc_id bigint, label int"))  # at most ``sample`` rows
-    rows = docs.where(~in_fold(F.col("doc_id"))).select("doc_id", "text").join(ids, "doc_id").select(
-        "doc_id", F.coalesce("text", F.lit("")).alias("text"), "label")
-    found, chars = [], 0
-    for r in sorted(rows.toLocalIterator(), key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.text)):
-        if chars + len(r.text) > SAMPLE_CHARS:
-            continue
-        chars += len(r.text)
-        found.append((r.text, r.label))
-    return found
+    texts = docs.where(~in_fold(F.col("doc_id"))).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    size = F.min(F.struct(F.xxhash64("text").alias("h"), F.length("text").alias("n"))).alias("m")
+    sizes = texts.join(ids, "doc_id").groupBy("doc_id").agg(size, F.first("label").alias("label")).select("doc_id", "m.h", "m.n", "label").collect()
+    fitting, chars = {}, 0
+    for r in sorted(sizes, key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id)):
+        if chars + r.n <= SAMPLE_CHARS:
+            chars += r.n
+            fitting[r.doc_id] = (r.h, r.label)
+    if not fitting:
+        return []
+    wanted = F.broadcast(spark.createDataFrame([(i, h) for i, (h, _) in fitting.items()], "doc_id bigint, h bigint"))
+    rows = texts.withColumn("h", F.xxhash64("text")).join(wanted, ["doc_id", "h"]).dropDuplicates(["doc_id"]).select("doc_id", "text")
+    found = {r.doc_id: r.text for r in rows.toLocalIterator()}
+    return [(found[i], label) for i, (_, label) in fitting.items()]
 
 
 def score_column(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

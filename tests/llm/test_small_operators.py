@@ -281,6 +281,84 @@ def test_classifier_forgets_within_bounds(monkeypatch):
     assert s.scores(texts) == pytest.approx(want) and len(s.at) <= 8
 
 
+def plain_buckets(word):
+    """Buckets of a word and of its n-grams, one by one, by the stated hashes."""
+    out = [zlib.crc32(word.encode()) % classifier.BUCKETS]
+    marked = f"<{word}>"
+    for n in classifier.NGRAMS:
+        for k in range(len(marked) - n + 1):
+            h = n
+            for ch in marked[k:k + n]:
+                h = (h + ord(ch)) * 0x9E3779B97F4A7C15 % 2 ** 64
+            out.append((h >> 40) % classifier.BUCKETS)
+    return out
+
+
+def plain_terms(text):
+    """Buckets of a document and their weights in its mean: of words, each the mean of its own buckets."""
+    words = text.split()
+    words += [classifier.AGAIN] * sum(a == b for a, b in zip(words, words[1:]))
+    out = Counter()
+    for w in words:
+        own = plain_buckets(w)
+        for b in own:
+            out[b] += 1 / len(own) / len(words)
+    return out
+
+
+def plain_fit(texts, labels):
+    """Gradient descent written out, number by number."""
+    rng = np.random.default_rng(classifier.SEED)
+    vectors = (rng.random((classifier.BUCKETS, classifier.DIM)) - 0.5) / classifier.DIM
+    weights, share = np.zeros((classifier.DIM, 2)), sum(labels) / len(labels)
+    bias = [np.log(1 - share), np.log(share)]
+    terms, steps, done = [plain_terms(t) for t in texts], classifier.EPOCHS * len(texts), 0
+    for _ in range(classifier.EPOCHS):
+        for i in rng.permutation(len(texts)):
+            lr = classifier.RATE * (1 - done / steps)
+            done += 1
+            if not terms[i]:
+                continue
+            h = sum(part * vectors[b] for b, part in terms[i].items())
+            z = [sum(h[k] * weights[k, c] for k in range(classifier.DIM)) + bias[c] for c in (0, 1)]
+            g = [np.exp(x) / (np.exp(z[0]) + np.exp(z[1])) - (c == labels[i]) for c, x in enumerate(z)]
+            dh = weights[:, 0] * g[0] + weights[:, 1] * g[1]
+            top = max(terms[i].values())
+            for c in (0, 1):
+                weights[:, c] -= lr * h * g[c]
+                bias[c] -= lr * 0.1 * g[c]
+            for b, part in terms[i].items():
+                vectors[b] -= lr * part / top * dh * 0.5
+    return vectors, weights, bias
+
+
+def test_classifier_against_plain_arithmetic():
+    rng = random.Random(9)
+    word = lambda bad: rng.choice(["zz#", "qq%x", "spam!", "é$"] if bad and rng.random() < 0.4 else ["alpha", "beta", "née", "日本", "gamma", "a"])
+    texts = [" ".join(word(i % 2 == 0) for _ in range(rng.randrange(1, 25))) for i in range(60)] + ["", "a a a a", "  "]
+    labels = [i % 2 for i in range(60)] + [1, 0, 0]
+    model = classifier.fit(texts, labels)
+    vectors, weights, bias = plain_fit(texts, labels)
+    assert np.allclose(model.vectors, vectors, atol=1e-9) and np.allclose(model.weights, weights, atol=1e-9) and np.allclose(model.bias, bias, atol=1e-9)
+    want = []
+    for t in [*texts, "unseen wörter unseen unseen"]:
+        terms = plain_terms(t)
+        h = sum((part * vectors[b] for b, part in terms.items()), np.zeros(classifier.DIM))
+        z = h @ weights + bias
+        want.append(np.exp(z[1]) / (np.exp(z[0]) + np.exp(z[1])))
+    assert np.allclose(classifier.Scorer(model).scores([*texts, "unseen wörter unseen unseen"]), want, atol=1e-9)
+
+
+def test_training_rows_fit_before_they_are_fetched(spark, monkeypatch):
+    monkeypatch.setattr(classifier, "SAMPLE_CHARS", 100)
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 4 != 2]
+    rows = [(i, "long " * 50 if i % 3 == 0 else f"text {i}", "s") for i in ids]
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, quality int")
+    got = classifier.training_rows(docs_of(spark, rows + rows + [(ids[1], "zzz", "s")]), labels)
+    assert got == classifier.training_rows(docs_of(spark, rows[::-1] + rows + [(ids[1], "zzz", "s")]), labels)
+    assert 10 < len(got) <= 17 and sum(len(t) for t, _ in got) <= 100 and len({t for t, _ in got}) == len(got)
+
+
 # ---------------------------------------------------------------- op9
 
 def test_jpeg_round_trip(monkeypatch):
