@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cinderbox.functions.expr import warmup_accumulate
+from cinderbox.operators.ranges import range_of, running_in_ranges
 
 
 def _upto(run: list[str], order: list) -> Window:
@@ -49,6 +50,13 @@ def ordinal(df: DataFrame, run: list[str], order: list, out: str = "ni") -> Data
     return df.withColumn(out, F.row_number().over(Window.partitionBy(*run).orderBy(*order)) - 1)
 
 
+def ordinal_in_ranges(df: DataFrame, run: list[str], first: str, then: list[str], out: str = "ni") -> DataFrame:
+    """The same for few runs of many rows: ordered by ``first``, and rows of equal value by the others, in ranges of it."""
+    x = df.withColumn("__first", F.unix_micros(F.col(first).cast("timestamp")) if dict(df.dtypes)[first].startswith("timestamp") else F.col(first))
+    x = running_in_ranges(x, run, range_of(x, "__first"), [F.col(c).asc() for c in (first, *then)], {"__n": F.lit(1).cast("long")})
+    return x.withColumn(out, F.col("__n") - 1).drop("__n", "__block", "__first")
+
+
 def global_step(batch: Column, epoch: Column, batches: Column | int) -> Column:
     return batch + (batches if isinstance(batches, Column) else F.lit(batches)) * epoch
 

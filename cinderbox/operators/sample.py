@@ -8,19 +8,27 @@ from pyspark.sql import functions as F
 from cinderbox.functions.expr import hash_uniform
 
 
-def prefix_sums(df: DataFrame, key: str, value: str, out: str, width: int = 4096) -> DataFrame:
-    """Running sum of whole numbers by a whole-number key, without a task that sees all rows.
+#: Blocks of keys, at most: the rows that the one window over all blocks sees.
+BLOCKS = 4096
 
-    Keys are cut into blocks of ``width``; blocks are summed (partial sums
-    before the shuffle), the blocks before are added, and rows are summed inside
-    their block. The window over blocks sees one row for each ``width`` keys.
+
+def prefix_sums(df: DataFrame, key: str, value: str, out: str, blocks: int = BLOCKS) -> DataFrame:
+    """Running sum of whole numbers by a key, without a task that sees all rows.
+
+    Keys are cut into ``blocks`` parts of equal width between the least and the
+    greatest; parts are summed (partial sums before the shuffle), the parts
+    before are added, and rows are summed inside their part. However far apart
+    keys are, the window over parts sees at most ``blocks`` rows.
     """
-    x = df.withColumn("__block", F.floor(F.col(key) / width))
-    blocks = x.groupBy("__block").agg(F.sum(value).alias("__sum"))
+    least, most = df.agg(F.min(key), F.max(key)).first()
+    if least is None:
+        return df.withColumn(out, F.lit(None).cast("long"))
+    x = df.withColumn("__block", F.floor((F.col(key) - F.lit(least)) / max(1, -(-(most - least + 1) // blocks))))
+    sums = x.groupBy("__block").agg(F.sum(value).alias("__sum"))
     before = F.coalesce(F.sum("__sum").over(Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    blocks = blocks.select(F.col("__block").alias("__b"), before.alias("__before"))
+    sums = sums.select(F.col("__block").alias("__b"), before.alias("__before"))
     inside = Window.partitionBy("__block").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
-    x = x.withColumn("__inside", F.sum(value).over(inside)).join(blocks, F.col("__block") == F.col("__b"))
+    x = x.withColumn("__inside", F.sum(value).over(inside)).join(sums, F.col("__block") == F.col("__b"))
     return x.withColumn(out, F.col("__before") + F.col("__inside")).drop("__block", "__b", "__before", "__inside")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import colorsys
 from collections.abc import Callable
 
 from pyspark.ml.functions import predict_batch_udf
@@ -13,7 +14,16 @@ from cinderbox.functions.expr import colour, label_text
 from cinderbox.functions.image import to_tensor
 from cinderbox.operators.boxes import above, rescale, suppress, with_names
 
-PALETTE = ["FF3838", "FF9D97", "FF701F", "FFB21D", "CFD231", "48F90A", "92CC17", "3DDB86", "1A9334", "00D4BB"]
+def palette(size: int) -> list[str]:
+    """Colours as hexadecimal red, green, blue: hues a golden section of the circle apart, full and half bright in turn (definition ours)."""
+    out = []
+    for i in range(size):
+        rgb = colorsys.hsv_to_rgb(i * 0.618034 % 1, 0.75, 1.0 if i % 2 == 0 else 0.6)
+        out.append("".join(f"{round(255 * x):02X}" for x in rgb))
+    return out
+
+
+PALETTE = palette(10)
 
 
 def inferred(frames: DataFrame, make_predict: Callable, shape: tuple[int, int, int] = (3, 480, 640), batch_size: int = 1) -> DataFrame:

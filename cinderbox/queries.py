@@ -7,7 +7,7 @@ exercise the operators.
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
 
@@ -42,6 +42,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder in the shared one that the session names; a local one only where Spark itself is local."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[[^,]*\])?$", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='cinderbox-')}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def class_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(c, i, c) for i, c in enumerate(CLASSES)], "event_type string, cls int, name string")
 
@@ -111,6 +121,11 @@ def iou_pairs(spark, sf_dir):
     return boxes.overlap_pairs(events_as_boxes(spark, sf_dir), ["frame_id", "cls"], "event_id")
 
 
+@query(ORACLE_SQL["iou_pairs"])
+def iou_pairs_by_cells(spark, sf_dir):
+    return boxes.overlap_pairs(events_as_boxes(spark, sf_dir), ["frame_id", "cls"], "event_id", cell=50)
+
+
 @query(f"""WITH {_BOXES} SELECT event_id, round_even(greatest(0, least(640, (x1 * 8) / 0.65)), 0)::BIGINT AS x1,
   round_even(greatest(0, least(640, ((x1 + 40) * 8) / 0.65)), 0)::BIGINT AS x2,
   round_even(greatest(0, least(480, (y1 * 8 - 52) / 0.65)), 0)::BIGINT AS y1,
@@ -198,7 +213,7 @@ def step_trigger(spark, sf_dir):
 
 @query("SELECT event_id, (row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1) + 1000 * (user_id % 7) AS ni FROM events")
 def global_ordinal(spark, sf_dir):
-    x = runs.ordinal(_runs(spark, sf_dir), ["event_type"], ["ts", "event_id"], "batch")
+    x = runs.ordinal_in_ranges(_runs(spark, sf_dir), ["event_type"], "ts", ["event_id"], "batch")
     return x.select("event_id", runs.global_step(F.col("batch"), F.col("user_id") % 7, 1000).alias("ni"))
 
 
@@ -511,14 +526,9 @@ def bilinear_half(spark, sf_dir):
 
 # ---------------------------------------------------------------- stream
 
-def _work_folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='cinderbox-stream-')}"
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 @query(ORACLE_SQL["det_threshold"])
 def stream_events(spark, sf_dir):
     """The threshold plan over events read as a stream until the source is used up."""
     events = stream.table_stream(spark, sf_dir, "events")
     plan = lambda b: boxes.above(b, "value", 250.0).select("event_id", F.col("user_id").alias("frame_id"), F.col("event_type").alias("cls"), (F.col("value") / 500).alias("conf"))
-    return stream.run_batches(events, plan, _work_folder(spark))
+    return stream.run_batches(events, plan, work_folder(spark, "stream"))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
+from cinderbox.operators.ranges import range_of, running_in_ranges
+
 FRAME = "frame_id long, ts timestamp, height int, width int, n_channels int, data binary"
 
 
@@ -21,6 +23,52 @@ def batches(df: DataFrame, size: int, key: str) -> DataFrame:
     return df.withColumn("batch", F.floor(F.col(key) / size))
 
 
+def stem(path: Column) -> Column:
+    """A file's name without folders and suffix."""
+    return F.regexp_extract(path, r"([^/]*?)(\.[^./]*)?$", 1)
+
+
+def labelled_images(spark: SparkSession, image_path: str, label_path: str, image_glob: str = "*", label_glob: str = "*.txt",
+                    by_folder: bool = False) -> DataFrame:
+    """Images with the boxes of the label file of the same stem: path, stem, length, content, boxes.
+
+    A label file has a line ``class x y width height`` for each box, in shares
+    of the image; ``boxes`` is an array of (cls, x, y, w, h) in line order, empty
+    for images without a file. A line that has other than five numbers raises.
+    ``by_folder``: files are told by their folders' names instead of their own.
+    """
+    name = (lambda p: F.element_at(F.split(p, "/"), -2)) if by_folder else stem
+    files = spark.read.option("pathGlobFilter", label_glob).text(label_path, wholetext=True)
+    lines = F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")
+
+    def box(line: Column) -> Column:
+        v = F.split(F.trim(line), r"\s+")
+        fields = [F.get(v, 0).cast("int").alias("cls"), *[F.get(v, i).cast("double").alias(n) for i, n in enumerate("xywh", 1)]]
+        return F.when(F.size(v) == 5, F.struct(*fields)).otherwise(F.raise_error(F.concat(F.lit("not a box: "), line)))
+
+    boxes = files.select(name(F.input_file_name()).alias("__stem"), F.transform(lines, box).alias("boxes"))
+    found = images(spark, image_path, image_glob).withColumn("stem", name(F.col("path")))
+    found = found.join(boxes, F.col("stem") == F.col("__stem"), "left")
+    none = F.array().cast("array<struct<cls:int,x:double,y:double,w:double,h:double>>")
+    return found.select("path", "stem", "length", "content", F.coalesce("boxes", none).alias("boxes"))
+
+
+def rectangles(df: DataFrame, height: str, width: str, size: int, batch: int, key: str, stride: int = 32) -> DataFrame:
+    """Images dealt into batches of like shape: batch, and the batch's height and width, raised to whole strides.
+
+    Rows are ordered by aspect ratio over ranges of it; the longer side of a batch is ``size``.
+    """
+    x = df.withColumn("__ratio", F.col(height) / F.col(width))
+    x = running_in_ranges(x, [], range_of(x, "__ratio"), [F.col("__ratio").asc(), F.col(key).asc()], {"__n": F.lit(1).cast("long")})
+    x = x.withColumn("batch", F.floor((F.col("__n") - 1) / batch))
+    shape = x.groupBy(F.col("batch").alias("__batch")).agg(F.min("__ratio").alias("lo"), F.max("__ratio").alias("hi"))
+    tall = F.when(F.col("hi") < 1, F.col("hi")).otherwise(F.lit(1.0))
+    wide = F.when(F.col("lo") > 1, 1 / F.col("lo")).otherwise(F.lit(1.0))
+    whole = lambda c: (F.ceil(c * size / stride) * stride).cast("long")
+    shape = shape.select("__batch", whole(tall).alias("batch_height"), whole(wide).alias("batch_width"))
+    return x.join(shape, F.col("batch") == F.col("__batch")).drop("__batch", "__block", "__ratio", "__n")
+
+
 _LINE = re.compile(r"^(\s*)([^\s#:][^:]*):\s*(.*?)\s*(?:#.*)?$")
 
 
@@ -95,12 +143,14 @@ def map_files(spark: SparkSession, path: str, glob: str = "*.yaml") -> DataFrame
     return files.select(F.input_file_name().alias("path"), F.map_from_entries(split).alias("entries")).orderBy("path")
 
 
-def population_seeds(spark: SparkSession, path: str, names: list[str]) -> list[list[float]]:
-    """Individuals from a file of nested maps, or from all files of a folder in name order."""
+def population_seeds(spark: SparkSession, path: str, names: list[str], glob: str = "*.yaml", most: int = 1000) -> list[list[float]]:
+    """Individuals from a file of nested maps, or from all files of a folder in name order, of which there may be ``most``."""
     if re.search(r"\.ya?ml$", path):
         found = list(parse_map(read_text(spark, path)).values())
     else:
-        found = [r.entries for r in map_files(spark, path).collect()]
+        found = [r.entries for r in map_files(spark, path, glob).limit(most + 1).collect()]
+        if len(found) > most:
+            raise ValueError(f"more than {most} seed files")
     return [[float(individual[n]) for n in names] for individual in found]
 
 

@@ -128,7 +128,7 @@ def test_labels(spark):
 
 def test_prefix_sums_over_blocks(spark):
     df = spark.createDataFrame([(i, i % 5) for i in range(1000)], "k long, v long")
-    got = {r.k: r.s for r in sample.prefix_sums(df, "k", "v", "s", width=64).collect()}
+    got = {r.k: r.s for r in sample.prefix_sums(df, "k", "v", "s", blocks=5).collect()}
     assert got == dict(enumerate(np.cumsum([i % 5 for i in range(1000)]).tolist()))
 
 
