@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import gc
+import re
 import shutil
 import tempfile
 import uuid
@@ -40,7 +41,8 @@ def let(value: Column, body) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from ``spark.checkpoint.dir``.
 
-    Only a session that names none (tests, a laptop) gets a local one.
+    A session that names none gets a local one where Spark itself is local (a
+    laptop); on a cluster it is an error.
     """
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None)
@@ -48,6 +50,8 @@ def shared_dir(spark: SparkSession) -> str:
         current = sc._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not re.match(r"local(\[[^,]*\])?$", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="cinderbox-")
         atexit.register(shutil.rmtree, path, ignore_errors=True)
         path = f"file://{path}"
