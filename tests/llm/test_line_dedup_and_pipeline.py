@@ -49,10 +49,11 @@ def plain_dedup(rows):
             x = root[x]
         return x
 
-    long = [x for x in lines if len(x) >= linededup.MIN_WORDS]
-    for k, a in enumerate(long):
-        for b in long[:k]:
-            if abs(len(a) - len(b)) <= 1 and edits(a, b) <= 1:
+    long = [(x, frozenset(x)) for x in lines if len(x) >= linededup.MIN_WORDS]
+    for k, (a, own) in enumerate(long):
+        for b, other in long[:k]:
+            # an edit takes one word out and puts one in at most
+            if abs(len(a) - len(b)) <= 1 and len(own ^ other) <= 2 and edits(a, b) <= 1:
                 root[find(a)] = find(b)
     keep = {}
     for x in lines:
