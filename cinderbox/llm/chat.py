@@ -15,7 +15,8 @@ it. A conversation of any length is thus spread over many tasks.
 Defined cases: null and unknown roles must be relabelled or merged; null texts
 are empty; turns that tie on (conv_id, turn) follow role and text; repeated rows
 are turns of their own; null conversation ids are one conversation, null turns
-come first; other columns are ignored; among repairs of equal cost the first in
+come first; ids and turns are whole numbers, also as text (other text raises);
+texts of any length are kept whole; other columns are ignored; among repairs of equal cost the first in
 the order keep, merge, relabel, fewer insertions is taken stretch by stretch.
 """
 

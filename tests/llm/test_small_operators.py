@@ -683,6 +683,25 @@ def test_repair_of_a_conversation_over_many_tasks(spark):
     assert chat.repair_roles(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_repair_edges(spark):
+    """Columns named like its own, a very long text, repeated rows, ids and turns as text of whole numbers."""
+    long = "word " * 400_000
+    rows = [(1, 0, "user", long), (1, 1, "assistant", "a"), (2, 0, "user", "x"), (2, 0, "user", "x"), (2, 1, "assistant", "y"), (3, None, None, ""), (3, 5, "assistant", None)]
+    schema = "conv_id long, turn long, role string, text string"
+    df = spark.createDataFrame(rows, schema)
+    plain = chat.repair_roles(df)
+    names = ["run", "pos", "table", "segment", "cost", "start", "final"]
+    columns = {n: F.lit("clash") for n in names}
+    seen = lambda out: sorted((r.conv_id, r.turn or -1, r.segment, r.cost) for r in out.collect())
+    assert seen(chat.repair_roles(df.withColumns(columns))) == seen(plain)
+    as_text = df.withColumns({c: F.col(c).cast("string") for c in ("conv_id", "turn")})
+    assert seen(chat.repair_roles(as_text)) == seen(plain)
+    whole = {i: "".join(r.segment for r in sorted((r for r in plain.collect() if r.conv_id == i), key=lambda r: (r.turn or -1))) for i in (1, 2)}
+    assert long in whole[1] and whole[1].count("<|end|>") == 2
+    assert re.findall(r"<\|(user|assistant)\|>", whole[2]) == ["user", "assistant"] and whole[2].count("x") == 2
+    assert len(seen(plain)) == len(rows)
+
+
 # ---------------------------------------------------------------- op3
 
 def jaccard_components(rows):
