@@ -18,7 +18,7 @@ from cinderbox.operators.labels import concatenated
 from cinderbox.plans import live
 from cinderbox.queries import _BOXES, _U, ORACLE_SQL, events_as_boxes, query, table, work_folder
 from cinderbox.sources import readers, sinks
-from cinderbox.streaming.detections import Hooks
+from cinderbox.streaming.detections import Hooks, run_batches
 
 
 # ---------------------------------------------------------------- frames and the plug-in model
@@ -49,6 +49,16 @@ def drawn_frames(spark, sf_dir):
         "frame_id", "pos", F.conv("h", 16, 10).cast("int").alias("value"))
 
 
+@query(ORACLE_SQL["frame_source"])
+def frame_stream(spark, sf_dir):
+    """The same frames as a stream, read until its end and released."""
+    spark.dataSource.register(readers.FrameSource)
+    n = table(spark, sf_dir, "nation").count()
+    frames = spark.readStream.format("frames").options(width=64, height=48, frames=n, per_batch=10).load()
+    plan = lambda f: f.select("frame_id", "height", "width", "n_channels", F.octet_length("data").alias("bytes"), (F.unix_millis("ts") - F.unix_millis(F.lit("2000-01-01").cast("timestamp"))).alias("ms"))
+    return run_batches(frames, plan, work_folder(spark, "frames"))
+
+
 def _corner_model():
     """Stands in for a trained model: two boxes a frame, whose confidences are its first pixel's red and green."""
     def predict(x: np.ndarray) -> np.ndarray:
@@ -331,3 +341,27 @@ def next_generation(spark, sf_dir):
     """The children of a scored population: winners, elites with ties, crossover, mutation."""
     child = ga.next_generation(_individuals(spark, sf_dir), _LO, _HI, _G, _N, seed=3, population=_POP)
     return concatenated(child, "genes", ["idx"]).withColumn("value", F.round("value", 9))
+
+
+def _search_sql(lo: list[float], hi: list[float], generations: int, population: int) -> str:
+    """The whole search with seed 0, generation after generation, towards the middle of every range."""
+    los, his = (f"[{', '.join(f'{x!r}::DOUBLE' for x in v)}]" for v in (lo, hi))
+    u = lambda text: f"({_U.format(text)})::DOUBLE"
+    each = f"range({len(lo)})"
+    parts = [f"""p0 AS MATERIALIZED (SELECT i::INT AS idx, list_transform({each}, lambda j: {los}[j + 1] + {u("'0:start:' || i || ':' || j")} * ({his}[j + 1] - {los}[j + 1])) AS g FROM range({population}) r(i))"""]
+    for n in range(generations):
+        parts.append(f"""s{n} AS MATERIALIZED (SELECT idx, g, -list_sum(list_transform({each}, lambda j: abs((g[j + 1] - ({los}[j + 1] + {his}[j + 1]) / 2) / ({his}[j + 1] - {los}[j + 1])))) AS f FROM p{n})""")
+        k, size = ga.elite_size(n, generations), ga.tournament_size(n, generations, population)
+        moved = f"greatest({los}[j + 1], least({his}[j + 1], g[j + 1] + (-0.1::DOUBLE + {u(f"'0:{n}:' || idx || ':' || j || ':move'")} * 0.2::DOUBLE)))"
+        parts.append(f"""d{n} AS (SELECT t, idx, f, row_number() OVER (PARTITION BY t ORDER BY {_U.format(f"'{n}:' || t || ':' || idx")}, idx) AS place FROM s{n}, range({population - k}) r(t)),
+w{n} AS (SELECT t AS place, idx FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY f DESC, place) AS rk FROM d{n} WHERE place <= {size}) WHERE rk = 1),
+e{n} AS (SELECT row_number() OVER (ORDER BY idx) - 1 + {population - k} AS place, idx FROM s{n} WHERE f >= (SELECT min(f) FROM (SELECT f FROM s{n} ORDER BY f DESC LIMIT {k}))),
+q{n} AS MATERIALIZED (SELECT place, g FROM (SELECT * FROM w{n} UNION ALL SELECT * FROM e{n}) JOIN s{n} USING (idx) WHERE place < {population}),
+c{n} AS (SELECT i::INT AS idx, floor({u(f"'0:{n}:' || i || ':a'")} * {population})::BIGINT AS a, floor({u(f"'0:{n}:' || i || ':b'")} * {population})::BIGINT AS b,
+  (floor({u(f"'0:{n}:' || i || ':cut'")} * {len(lo) - 1}) + 1)::INT AS cut, {u(f"'0:{n}:' || i || ':cross'")} < {ga.rate(ga.CROSSOVER, n, generations)!r} AS crosses FROM range({population}) r(i)),
+x{n} AS MATERIALIZED (SELECT c.idx, CASE WHEN crosses THEN list_concat(p.g[1:cut], q.g[cut + 1:{len(lo)}]) ELSE p.g END AS g FROM c{n} c JOIN q{n} p ON p.place = c.a JOIN q{n} q ON q.place = c.b),
+p{n + 1} AS MATERIALIZED (SELECT idx, list_transform({each}, lambda j: CASE WHEN {u(f"'0:{n}:' || idx || ':' || j || ':whether'")} < {ga.rate(ga.MUTATION, n, generations)!r} THEN {moved} ELSE g[j + 1] END) AS g FROM x{n})""")
+    return f"WITH {', '.join(parts)} SELECT idx, round(f, 9) AS fitness FROM s{generations - 1}"
+
+
+ORACLE_SQL["genetic_search"] = _search_sql([g[2] for g in ga.GENES if g[1]], [g[3] for g in ga.GENES if g[1]], 3, ga.POPULATION)
