@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import contextvars
 import gc
 import re
 import shutil
@@ -65,26 +66,32 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-#: Work tables that stand in the shared folder.
-_WRITTEN: list[str] = []
+#: Where the paths of work tables are noted, inside ``kept_apart``.
+_NOTED: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("noted", default=None)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = scratch(spark, name)
+    noted = _NOTED.get()
+    if noted is not None:
+        noted.append(path)
     df.write.parquet(path)
-    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def kept_apart(build) -> tuple[DataFrame, list[str]]:
-    """What ``build()`` returns, and the paths of the work tables that it wrote."""
-    mark = len(_WRITTEN)
-    out = build()
-    paths = _WRITTEN[mark:]
-    del _WRITTEN[mark:]
-    return out, paths
+def kept_apart(spark: SparkSession, build) -> tuple[DataFrame, list[str]]:
+    """What ``build()`` returns, and the paths of the work tables that it wrote; they are deleted if it fails."""
+    paths: list[str] = []
+    token = _NOTED.set(paths)
+    try:
+        return build(), paths
+    except BaseException:
+        sweep(spark, paths)
+        raise
+    finally:
+        _NOTED.reset(token)
 
 
 def sweep(spark: SparkSession, paths: list[str]) -> None:

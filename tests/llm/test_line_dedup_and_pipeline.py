@@ -4,6 +4,7 @@ The plain line dedup compares all pairs of lines by edit distance over words and
 knows nothing of SimHashes.
 """
 
+import os
 import random
 from collections import Counter
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cinderbox.llm import linededup, mixing, quality
-from cinderbox.llm.common import materialise, table
+from cinderbox.llm.common import kept_apart, materialise, table
 from test_small_operators import DOCS, docs_of, edge_rows, jaccard_components
 
 UNSPACED = regex.compile(r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])")
@@ -217,6 +218,21 @@ def test_pipeline_against_plain_stages(spark, staged):
     assert encoded.count() == mixed.count()
 
 
+def test_work_tables_of_a_failed_stage_go(spark):
+    written = []
+
+    def build():
+        written.append(materialise(spark.range(3), "kept").inputFiles())
+        raise RuntimeError("stage")
+
+    with pytest.raises(RuntimeError):
+        kept_apart(spark, build)
+    folder = written[0][0].removeprefix("file://").rsplit("/", 1)[0]
+    assert written[0] and not os.path.exists(folder)
+    out, paths = kept_apart(spark, lambda: materialise(spark.range(3), "kept"))
+    assert out.count() == 3 and len(paths) == 1
+
+
 def test_run(spark):
     assert corpus_pipeline.ORACLE_SQL is None
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
