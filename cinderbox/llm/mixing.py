@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, running_sums, table, word_count
+from .common import materialise, running_sums, small, table, word_count
 
 #: Weights of the sources in order, repeating, the share of all words, and the most copies (the contract's values).
 WEIGHTS = (3, 1, 2)
@@ -160,16 +160,25 @@ def mix(docs: DataFrame) -> DataFrame:
 
     Decisions are joined back by id and a hash of the row, as text is too large
     to carry through the ranking. Rows that agree in both are the same document
-    repeated, and share the copies that they got together.
+    repeated, and share the copies that they got together; only they are numbered.
     """
     key = F.xxhash64(F.col("doc_id"), F.col("source"), F.col("text"))
     sizes = materialise(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("__key")), "sizes")
     plan = _sampled(sizes, "source").groupBy(F.col("__key").alias("__k")).agg(F.sum("copies").alias("__c"), F.count(F.lit(1)).alias("__n"))
-    x = docs.withColumn("__key", key).join(plan, F.col("__key") == F.col("__k"))
-    nth = F.when(F.col("__n") == 1, F.lit(1)).otherwise(F.row_number().over(Window.partitionBy("__k").orderBy("doc_id")))
-    times = F.floor(F.col("__c") / F.col("__n")) + (nth <= F.col("__c") % F.col("__n")).cast("long")
-    x = x.withColumn("__times", times).where("__times > 0")
-    return x.withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times")))).select(*docs.columns)
+    plan = materialise(plan.where("__c > 0"), "plan")
+    again = plan.where("__n > 1")
+
+    def repeated(x: DataFrame, times: Column) -> DataFrame:
+        x = x.withColumn("__times", times).where("__times > 0")
+        return x.withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times")))).select(*docs.columns)
+
+    keyed = docs.withColumn("__key", key)
+    out = repeated(keyed.join(plan.where("__n = 1"), F.col("__key") == F.col("__k")), F.col("__c"))
+    if again.isEmpty():
+        return out
+    nth = F.row_number().over(Window.partitionBy("__k").orderBy("doc_id"))
+    shared = F.floor(F.col("__c") / F.col("__n")) + (nth <= F.col("__c") % F.col("__n")).cast("long")
+    return out.unionByName(repeated(keyed.join(small(again), F.col("__key") == F.col("__k")), shared))
 
 
 def op6_mix_sources(spark, sf_dir):
