@@ -612,6 +612,15 @@ def test_html_query_takes_articles_whole(spark, sf):
     assert all(r.n_chars == len(r.text) for r in got.values())
 
 
+def test_html_of_pages_without_an_article_tag(spark, sf):
+    pages = [r.html for r in table(spark, sf, "pages").collect()]
+    net = html.trained()
+    want = html.main_text(net, pages)
+    for tag, attrs in (("main", ""), ("div", ' class="content"'), ("section", ' class="story"'), ("div", "")):
+        got = html.main_text(net, [p.replace("<article>", f"<{tag}{attrs}>").replace("</article>", f"</{tag}>") for p in pages])
+        assert sum(a == b for a, b in zip(got, want, strict=True)) >= 0.98 * len(pages)
+
+
 def test_html_edges(spark):
     rows = [(1, "u", None), (2, "u", ""), (3, None, "<p>" + "word " * 50_000), (3, None, "<p>" + "word " * 50_000)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("links", F.lit(1))
