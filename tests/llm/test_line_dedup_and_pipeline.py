@@ -128,8 +128,8 @@ def test_equal_lines_of_any_length_take_part(spark):
 
 def test_hashes_of_long_and_short_lines_agree(spark):
     df = docs_of(spark, [(i, t, "s") for i, t in like_lines()])
-    x = df.select("doc_id", F.lit(1).alias("row"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    x = x.select("doc_id", "row", "pos", linededup.words_of(F.col("line")).alias("w")).where(F.size("w") >= linededup.MIN_WORDS)
+    x = df.select(F.lit(0).alias("copy"), "doc_id", F.lit(1).alias("row"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    x = x.select("copy", "doc_id", "row", "pos", linededup.words_of(F.col("line")).alias("w")).where(F.size("w") >= linededup.MIN_WORDS)
     a, b = ({(r.doc_id, r.pos): (r.k1, r.k2, r.n, r.sim, r.counts) for r in hashed(x).collect()} for hashed in (linededup._hashed, linededup._hashed_long))
     assert a == b and len(a) > 50
     assert all(sum(c >> 12 * g & 4095 for g in range(5)) == n for _, _, n, _, c in a.values())
@@ -138,7 +138,7 @@ def test_hashes_of_long_and_short_lines_agree(spark):
 def test_simhash_blocks_are_majorities_of_their_words(spark):
     words = [f"w{i}" for i in range(40)]
     h = {r.w: r.h for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
-    got = linededup._hashed(spark.createDataFrame([(1, 1, 0, words)], "doc_id long, row long, pos int, w array<string>")).first()
+    got = linededup._hashed(spark.createDataFrame([(0, 1, 1, 0, words)], "copy long, doc_id long, row long, pos int, w array<string>")).first()
     for g in range(5):
         own = [x for x in h.values() if x % 5 == g]
         assert got.counts >> 12 * g & 4095 == len(own)
@@ -176,6 +176,13 @@ def test_groups_take_no_pairs(spark):
     assert [(r.a, r.b) for r in linededup._grouped(materialise(df, "words")).collect()] == [(0, 200)]
 
 
+def test_repeated_rows_link_like_single_ones(spark):
+    line = "one two three four five six seven eight"
+    rows = [(1, line + "\nother words here")] * 5 + [(2, line.replace("four", "4"))] + [(3, "w " * 1500 + "x")] * 3 + [(4, "w " * 1500 + "y")]
+    got = linededup.dedup_lines(docs_of(spark, [(i, t, "s") for i, t in rows])).collect()
+    assert sorted((r.doc_id, r.lines_out) for r in got) == [*[(1, 2)] * 5, (2, 0), *[(3, 1)] * 3, (4, 0)]
+
+
 def test_line_dedup_edges(spark):
     df = docs_of(spark, edge_rows())
     got = linededup.dedup_lines(df).collect()
