@@ -32,6 +32,11 @@ def test_annotated_frames_of_half_cents(spark, tmp_path):
     agrees(core.det_annotated_frames(spark, folder), core.ORACLE_SQL["det_annotated_frames"], folder)
 
 
+def test_labels_of_half_cents(spark, tmp_path):
+    folder = half_cents(spark, tmp_path)
+    agrees(core.det_labels(spark, folder), core.ORACLE_SQL["det_labels"], folder)
+
+
 def test_filters_reach_the_scan(spark, sf):
     plan = core.det_threshold(spark, sf)._jdf.queryExecution().toString()
     assert "GreaterThan(value,250.0)" in plan
