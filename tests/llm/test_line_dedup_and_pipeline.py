@@ -111,6 +111,59 @@ def test_every_line_of_one_edit_is_found(spark, monkeypatch, few):
     same_texts(linededup.dedup_lines(docs_of(spark, [(i, t, "s") for i, t in rows])).collect(), rows)
 
 
+def similar_components(lines):
+    """The least line of each line's component, by edit similarity of 0.8 alone over all pairs."""
+    root = list(range(len(lines)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for k, a in enumerate(lines):
+        for i, b in enumerate(lines[:k]):
+            if 5 * edits(a, b) <= max(len(a), len(b)):
+                x, y = sorted((find(i), find(k)))
+                root[y] = x
+    return [find(x) for x in range(len(lines))]
+
+
+def test_every_line_of_similarity_is_found(spark):
+    """Recall against edit similarity of 0.8 alone: chains of two edits and more, whose middle lines are often missing."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 4)))
+    lines = []
+    for n in [5, 8, 9, 10, 11, 15, 20, 25, 40, 80] * 5 + [12] * 5:
+        base = [word() for _ in range(n)] if rng.random() < 0.7 else [rng.choice("ab") for _ in range(n)]
+        for _ in range(4):
+            w = list(base)
+            for _ in range(rng.randrange(0, len(w) // 5 + 2)):
+                at = rng.randrange(len(w))
+                w[at:at + rng.choice([0, 1])] = [word()] * rng.choice([0, 1, 1])
+            lines.append(w)
+    shared = ["passage"] * 3 + ["common", "words"]
+    lines += [shared + [word() for _ in range(12)] for _ in range(40)]
+    lines = [list(x) for x in dict.fromkeys(tuple(w) for w in lines if len(w) >= linededup.MIN_WORDS)]
+    roots = similar_components(lines)
+    got = linededup.dedup_lines(docs_of(spark, [(i, " ".join(w), "s") for i, w in enumerate(lines)]), further=True).collect()
+    assert {r.doc_id for r in got if r.lines_out} == set(roots) and len(set(roots)) < len(lines) - 50
+
+
+def test_similarity_on_words(spark):
+    rng = random.Random(6)
+    pairs = []
+    for _ in range(150):
+        a = [rng.choice("abcdefgh") for _ in range(rng.randrange(5, 26))]
+        b = list(a)
+        for _ in range(rng.randrange(0, 7)):
+            at = rng.randrange(len(b))
+            b[at:at + rng.choice([0, 1])] = [rng.choice("abcdefghij")] * rng.choice([0, 1, 1])
+        pairs.append((a, b or ["x"]))
+    df = spark.createDataFrame(pairs, "a array<string>, b array<string>")
+    got = [r.s for r in df.select(linededup.similar(F.col("a"), F.col("b")).alias("s")).collect()]
+    assert got == [5 * edits(a, b) <= max(len(a), len(b)) for a, b in pairs] and 20 < sum(got) < 140
+
+
 def test_lines_are_told_apart_by_letters_and_digits(spark):
     line = "One, two three: four-five six 7 ünf"
     rows = [(1, line), (2, line + "\r"), (3, "one\ttwo\tthree\tfour\tfive\tsix\t7\tÜnf"), (4, "  One two  three four five (six) 7 ünf!"), (5, "One two three four five six 8 other")]
