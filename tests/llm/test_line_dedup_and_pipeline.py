@@ -149,6 +149,18 @@ def test_every_line_of_similarity_is_found(spark):
     assert {r.doc_id for r in got if r.lines_out} == set(roots) and len(set(roots)) < len(lines) - 50
 
 
+def test_words_are_written_only_of_lines_that_may_be_similar(spark, monkeypatch):
+    """Of 40 lines alone, two that share words but whose lengths tell them apart, and two that are two edits apart."""
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(12))) for i in range(40)]
+    rows += [(50, " ".join(f"p{j}" for j in range(40))), (51, " ".join(f"p{j}" for j in range(20)))]
+    rows += [(60, " ".join(f"q{j}" for j in range(12))), (61, " ".join(f"q{j}" if j not in (3, 8) else f"r{j}" for j in range(12)))]
+    written = []
+    monkeypatch.setattr(linededup, "materialise", lambda df, name: written.append((name, materialise(df, name))) or written[-1][1])
+    got = linededup.dedup_lines(docs_of(spark, [(i, t, "s") for i, t in rows]), further=True).collect()
+    assert {r.doc_id for r in got if not r.lines_out} == {61}
+    assert all(x.count() <= 2 for name, x in written if name == "words")
+
+
 def test_similarity_on_words(spark):
     rng = random.Random(6)
     pairs = []
